@@ -32,9 +32,9 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
 
 
-def shapes(n_bytes: int, items_per_byte: float) -> tuple[int, int]:
-    """(segments, buckets) for a corpus of so many bytes."""
-    return max(1, -(-n_bytes // SEGMENT_BYTES)), max(1, int(n_bytes * items_per_byte / BUCKET_ITEMS) + 1)
+def shapes(n_bytes: int, items_per_byte: float, shrink: int = 1) -> tuple[int, int]:
+    """(segments, buckets) for a corpus of so many bytes; segments ``shrink`` times smaller than usual."""
+    return max(1, -(-n_bytes * shrink // SEGMENT_BYTES)), max(1, int(n_bytes * items_per_byte / BUCKET_ITEMS) + 1)
 
 
 def segments(docs: DataFrame, id_col: str, text_col: str, n: int, carry: bool = False) -> DataFrame:

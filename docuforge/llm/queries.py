@@ -42,6 +42,13 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docuforge.llm.suffix_dedup import suffix_dedup
+
+    out = suffix_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,5 +57,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_source_mixing, op3_quality_classifier, op4_lm_scoring, op8_simhash_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_source_mixing, op3_quality_classifier, op4_lm_scoring, op8_simhash_dedup, op9_suffix_array_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}
