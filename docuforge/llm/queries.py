@@ -35,6 +35,22 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+#: Host and path rules of the url filter.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docuforge.llm.url_filter import url_verdicts
+
+    return url_verdicts(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docuforge.llm.embedding_dedup import embedding_groups
+
+    return embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docuforge.llm.simhash_dedup import simhash_groups
 
@@ -57,5 +73,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_source_mixing, op3_quality_classifier, op4_lm_scoring, op8_simhash_dedup, op9_suffix_array_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_source_mixing, op3_quality_classifier, op4_lm_scoring, op5_url_filter, op6_embedding_dedup, op8_simhash_dedup, op9_suffix_array_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}

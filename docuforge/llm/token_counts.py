@@ -1,6 +1,7 @@
 """Token counts of whole texts with overlap resynchronisation for huge documents.
 
-Ordinary texts are encoded whole, in batches.  A huge text is encoded in
+Ordinary texts are cut at ASCII white space, where the tokenizer always splits
+too, and the distinct pieces of a batch are encoded.  A huge text is encoded in
 overlapping chunks, with offsets.  Two neighbouring encodings are spliced at a
 boundary both agree on and that is proven stable: inside the overlap, white
 space that no token spans, with the same tokens on both sides of it.  The tokenizer
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _loaded: dict[str, object] = {}
+#: Counts of pieces between white space that a worker remembers; it starts anew when they are so many.
+REMEMBERED = 1 << 18
 
 
 def load(path: str):
@@ -74,6 +77,18 @@ def count_huge(tokenizer, text: str, chunk: int, overlap: int) -> int:
     return total + len(held)
 
 
+def _learn(tokenizer, memo: dict[bytes, int], pieces: set[bytes]) -> dict[bytes, int]:
+    """A memo that has the token counts of all ``pieces``."""
+    new = pieces - memo.keys()
+    if len(memo) + len(new) > REMEMBERED:
+        memo, new = {}, pieces
+    new = list(new)
+    for i in range(0, len(new), 8192):
+        part = new[i : i + 8192]
+        memo.update(zip(part, map(len, tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False))))
+    return memo
+
+
 def token_counts(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, chunk: int = 1 << 15, overlap: int = 1 << 10
 ) -> DataFrame:
@@ -87,7 +102,7 @@ def token_counts(
     """
 
     def run(batches):
-        tokenizer = load(tokenizer_path)
+        tokenizer, memo = load(tokenizer_path), {}
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             counts = [0] * len(texts)
@@ -96,11 +111,12 @@ def token_counts(
                 if len(x) > chunk:
                     counts[i] = count_huge(tokenizer, x, chunk, overlap)
                 elif x:
-                    small.append(i)
+                    small.append((i, x.encode().split()))  # bytes split at ASCII white space only
                     held += len(x)
-                if held > 1 << 20 or i == len(texts) - 1:  # a bounded number of encodings at a time
-                    for k, e in zip(small, tokenizer.encode_batch_fast([texts[k] for k in small], add_special_tokens=False)):
-                        counts[k] = len(e)
+                if held > 1 << 20 or i == len(texts) - 1:  # a bounded number of pieces at a time
+                    memo = _learn(tokenizer, memo, set().union(*(pieces for _, pieces in small)))
+                    for k, pieces in small:
+                        counts[k] = sum(map(memo.__getitem__, pieces))
                     small, held = [], 0
             sizes = [len(x.encode()) for x in texts]
             yield pa.RecordBatch.from_arrays(
