@@ -51,6 +51,12 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docuforge.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docuforge.llm.simhash_dedup import simhash_groups
 
@@ -73,5 +79,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_source_mixing, op3_quality_classifier, op4_lm_scoring, op5_url_filter, op6_embedding_dedup, op8_simhash_dedup, op9_suffix_array_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_source_mixing, op3_quality_classifier, op4_lm_scoring, op5_url_filter, op6_embedding_dedup, op7_decontaminate, op8_simhash_dedup, op9_suffix_array_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}
