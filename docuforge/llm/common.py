@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -54,9 +55,14 @@ class Scratch:
         _delete(self.spark, f"{self.root}/{name}")
 
     def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of finished steps before the next step writes its own."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark's cleaner remove the shuffle files of finished steps before the next step writes its own.
+
+        The first round drops what Python holds of the plans, the second what the JVM held for it.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
