@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from docuforge.functions.chunking.structured import docx_xml
 from docuforge.functions.text import file_type, unix_lines
@@ -78,7 +79,7 @@ def extract_text(files: DataFrame) -> DataFrame:
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "text", "error"])
 
-    return files.mapInArrow(run, files.withColumns({"text": F.lit(""), "error": F.lit("")}).schema)
+    return files.mapInArrow(run, StructType([*files.schema.fields, StructField("text", StringType()), StructField("error", StringType())]))
 
 
 def _text_of(path: str, content: bytes) -> tuple[str | None, str | None]:
