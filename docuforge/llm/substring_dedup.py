@@ -71,6 +71,17 @@ class _Segment:
         return f[first], g[first], least, inverse
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with every field nullable, as a schema string means it."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, _nullable(kind.value_type)))
+    if pa.types.is_map(kind):
+        return pa.map_(kind.key_type, pa.field("value", _nullable(kind.item_type)))
+    return kind
+
+
 def _hits(segment: _Segment, replies: pa.Table):
     p, _, f = segment.probes()
     _, inverse = np.unique(f, return_inverse=True)
@@ -153,7 +164,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             removed[i] = len(mine) - mine.sum()
             texts.append(b" ".join(compress(words, mine.tolist()) if removed[i] else words).decode())
         out = {"doc_id": table.column("_id"), "n_words": pa.array(segment.counts, pa.int64()), "n_removed": pa.array(removed), "kept_text": pa.array(texts, pa.string())}
-        return pa.table(out | ({"_row": table.column("_row")} if carry else {}))
+        return pa.table(out | ({"_row": table.column("_row").cast(_nullable(table.schema.field("_row").type))} if carry else {}))
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
     if carry:
