@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-Texts become hashed byte-bigram counts (square root, inverse document
-frequency), projected on the leading latent directions of a labelled sample.
+Texts become hashed byte-bigram counts and counts of words that repeat one of the
+last three (square root, inverse document frequency), projected on the leading latent directions of a labelled sample.
 The labelled vectors are broadcast, which their documented bound allows.  Every
 document is compared with all of them, block by block, by exact cosine
 products; its nearest neighbours vote with their similarity as weight.
@@ -14,23 +14,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docuforge.llm.common import batches_of, splitmix, text_buffers
+from docuforge.llm.common import batches_of, splitmix, text_buffers, word_hashes, words_of
 
-FEATURES = 1024
+BIGRAMS, LAGS = 1024, (1, 2, 3)
+FEATURES = BIGRAMS + len(LAGS)
+#: How much the share of repeated words weighs against the shares of bigrams.
+REPEAT_WEIGHT = 2.0
 #: Hash bucket of each byte bigram.
-_BUCKET = (splitmix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(FEATURES)).astype(np.int32)
+_BUCKET = (splitmix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(BIGRAMS)).astype(np.int32)
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Square roots of the bigram shares of each document, one row each."""
+    """Square roots of the bigram shares, and of the shares of repeated words, of each document, one row each."""
     n = len(offsets) - 1
-    out = np.zeros((n, FEATURES), np.float32)
+    out = np.zeros((n, BIGRAMS), np.float32)
     for i in range(n):
         for lo in range(int(offsets[i]), int(offsets[i + 1]) - 1, 1 << 20):  # blocks overlap by one byte
             x = raw[lo : min(lo + (1 << 20) + 1, int(offsets[i + 1]))].astype(np.int32)
-            out[i] += np.bincount(_BUCKET[(x[:-1] << 8) | x[1:]], minlength=FEATURES)
+            out[i] += np.bincount(_BUCKET[(x[:-1] << 8) | x[1:]], minlength=BIGRAMS)
     total = out.sum(1, keepdims=True)
-    return np.sqrt(out / np.maximum(total, 1))
+    starts, ends, counts = words_of(raw[offsets[0] : offsets[-1]], offsets - offsets[0])
+    words, doc = word_hashes(raw[offsets[0] : offsets[-1]], starts, ends), np.repeat(np.arange(n), counts)
+    again = np.stack([np.bincount(doc[k:], (words[k:] == words[:-k]) & (doc[k:] == doc[:-k]), n) for k in LAGS], 1).astype(np.float32)
+    again *= REPEAT_WEIGHT**2 / np.maximum(counts, 1)[:, None].astype(np.float32)
+    return np.sqrt(np.concatenate([out / np.maximum(total, 1), again], 1))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, id_col: str, text_col: str, label_col: str, train) -> tuple[np.ndarray, np.ndarray]:
