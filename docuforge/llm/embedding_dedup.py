@@ -40,8 +40,8 @@ def choose_pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
 def _lists(pivots, prefix: int):
     def run(batches):
         for batch in batches:
-            ids, labels, dims, blobs = (batch.column(i) for i in range(4))
-            d, cols = dims.to_numpy(), [[], [], [], [], [], []]
+            ids, labels, dims, blobs, many = (batch.column(i) for i in range(5))
+            d, cols = dims.to_numpy(), [[], [], [], [], [], [], []]
             for dim in np.unique(d):
                 p, at = pivots.value.get(int(dim)), np.flatnonzero(d == dim)
                 if p is None:
@@ -59,9 +59,10 @@ def _lists(pivots, prefix: int):
                     cols[3].append(d[at])
                     cols[4] += [blobs[int(i)].as_py() for i in at]
                     cols[5] += packed
+                    cols[6].append(many.to_numpy()[at])
             if not cols[0]:
                 continue
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in cols[:4]], pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())], names=["pair", "key", "label", "dim", "v", "near"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in cols[:4]], pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary()), pa.array(np.concatenate(cols[6]))], names=["pair", "key", "label", "dim", "v", "near", "many"])
 
     return run
 
@@ -157,11 +158,8 @@ def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     classes = entries.groupBy("label", "dim", "v").agg(F.count("*").alias("many"), F.min("vec_id").alias("least_id"))
     classes = scratch.table(classes.select("*", F.monotonically_increasing_id().alias("key")), "classes")
     pivots = spark.sparkContext.broadcast(choose_pivots(classes, n_pivots))  # n_pivots vectors a dimension
-    lists = classes.select("key", "label", "dim", "v").mapInArrow(_lists(pivots, prefix), "pair bigint, key bigint, label bigint, dim int, v binary, near binary")
-    lists = lists.join(classes.select("key", "many"), "key")
-
-    sizes = classes.select("key", "label", "dim", "v").mapInArrow(_lists(pivots, prefix), "pair bigint, key bigint, label bigint, dim int, v binary, near binary")
-    long = sizes.groupBy("label", "dim", "pair").count().where(F.col("count") > BLOCK).select("label", "dim", "pair", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    lists = classes.select("key", "label", "dim", "v", "many").mapInArrow(_lists(pivots, prefix), "pair bigint, key bigint, label bigint, dim int, v binary, near binary, many bigint")
+    long = lists.groupBy("label", "dim", "pair").count().where(F.col("count") > BLOCK).select("label", "dim", "pair", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     long = scratch.table(long, "long")
     long = F.broadcast(long) if long.count() <= BROADCAST_LISTS else long
     dealt = lists.join(long, ["label", "dim", "pair"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
