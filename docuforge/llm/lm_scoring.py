@@ -18,7 +18,9 @@ from docuforge.llm.common import Rolling, Scratch, doc_slices, splitmix, text_bu
 
 _roll = Rolling(0x9FB21C651E98DF25)
 #: Count tables are made in so many rounds, each over its share of the buckets, which bounds the disk in use at once.
-ROUNDS = 2
+ROUNDS = 3
+#: Bytes of an n-gram's fingerprint: with fewer, some n-grams of even a small corpus would share a count.
+WIDTH = 8
 
 
 def _ngrams(table: pa.Table, order: int):
@@ -61,8 +63,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     aux, tables = {"n_here": "u4"}, []
     for r in range(ROUNDS):
-        sent = X.send(dealt(), explode, n_bucket, 5, aux, (r, ROUNDS))
-        tables.append(scratch.table(X.answer(sent, n_bucket, 5, aux, count), f"counts-{r}"))
+        sent = X.send(dealt(), explode, n_bucket, WIDTH, aux, (r, ROUNDS))
+        tables.append(scratch.table(X.answer(sent, n_bucket, WIDTH, aux, count), f"counts-{r}"))
         del sent
         scratch.release()
     # Every round passes each segment's number of words on.
