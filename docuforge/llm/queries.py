@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docuforge.llm import oracles as O
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,7 +34,8 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docuforge.llm.lm_scoring import lm_scores
 
-    return lm_scores(_table(spark, sf_dir, "documents"))
+    scores = lm_scores(_table(spark, sf_dir, "documents"))
+    return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 #: Host and path rules of the url filter.
@@ -54,7 +57,8 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docuforge.llm.decontaminate import contaminated
 
-    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("similarity", F.round("similarity", 9))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +84,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_source_mixing, op3_quality_classifier, op4_lm_scoring, op5_url_filter, op6_embedding_dedup, op7_decontaminate, op8_simhash_dedup, op9_suffix_array_dedup, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_substring_dedup": O.OP1, "op4_lm_scoring": O.OP4, "op6_embedding_dedup": O.OP6, "op7_decontaminate": O.OP7, "op9_suffix_array_dedup": O.OP9}
