@@ -23,19 +23,21 @@ BITS = 64
 SMALL = 8
 
 
-def _fingerprint(text: str | None, shingle: int) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles of a text, repeats included; of all its words if there are fewer."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space separates
     if not words:
-        return 0
-    line = b" ".join(words)
+        return np.empty(0, np.uint64)
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    h = np.array(hashes, np.uint64)
+        return np.array([digest(line, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 65536):
         part = h[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -43,6 +45,10 @@ def _fingerprint(text: str | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
 
 
+def _fingerprint(text: str | None, shingle: int) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, fp): the 64-bit SimHash of each whole text as a signed long.
 
@@ -172,10 +178,3 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tops = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     named = scratch.table(ids.join(tops, "component").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.  Rows with a null id stay."""
-    groups = simhash_groups(docs, id_col, text_col, shingle, radius)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

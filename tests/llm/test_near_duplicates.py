@@ -10,7 +10,8 @@ from docuforge.llm.common import Scratch
 from docuforge.llm.components import connected_components
 from docuforge.llm.decontaminate import contaminated, with_simhash, without_contaminated
 from docuforge.llm.embedding_dedup import embedding_groups
-from docuforge.llm.simhash_dedup import fingerprints, keep_first, linked_fingerprints, simhash_groups
+from docuforge.llm.near_copies import keep_first, near_copy_groups
+from docuforge.llm.simhash_dedup import fingerprints, linked_fingerprints, simhash_groups
 
 from .conftest import docs
 
@@ -66,8 +67,6 @@ def test_simhash_groups(spark):
     found = simhash_groups(docs(spark, rows)).collect()
     assert len(found) == len(rows)
     assert {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in found} == {i: (fp[i], wanted[i]) for i in fp}
-    kept = keep_first(docs(spark, rows), shingle=4)
-    assert kept.columns == docs(spark, rows).columns and {r.doc_id for r in kept.collect()} == set(wanted.values())
     assert simhash_groups(docs(spark, [])).count() == 0
 
 
@@ -171,3 +170,34 @@ def test_simhash_by_bit_planes(spark):
     for r in with_simhash(df, "bag", 63, "fp").collect():
         wanted = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in bags[r.i]) > len(bags[r.i]))
         assert r.fp % (1 << 64) == wanted
+
+
+@pytest.mark.parametrize("crowd", [8, 120])
+def test_near_copies(spark, crowd):
+    """All pairs of similarity 0.8 or more fall into one group, and no others; crowds above the paired size too."""
+    rows, n = [(0, None), (1, ""), (2, "a b"), (3, "A  B"), (4, "a c"), (5, " ")], 6
+    for base in ([R.choice(WORDS) for _ in range(k)] for k in (60, 200, 800)):
+        for v in range(crowd if len(base) == 200 else 8):
+            w = [*base]
+            for _ in range(v % 4 * len(base) // 90):
+                w[R.randrange(len(w))] = f"new{R.random()}"
+            rows.append((n, " ".join(w)))
+            n += 1
+    rows.append((n, " ".join(R.choice(WORDS) for _ in range(90))))
+    rows += [(None, rows[9][1]), (7, rows[7][1])]
+
+    def bag(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    bags = {i: bag(t) for i, t in rows if i is not None}
+    links = [(a, b) for a in bags for b in bags if a < b and len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b])]
+    wanted = components(bags, links)
+    found = {r.doc_id: r.component_id for r in near_copy_groups(docs(spark, rows)).collect()}
+    assert found.pop(None) == found[9]
+    assert all(wanted[i] == wanted[c] for i, c in found.items())
+    wrong = [i for i in wanted if found[i] != wanted[i]]
+    assert len(wrong) <= 0.05 * len(wanted) and len(links) > 30
+    kept = keep_first(docs(spark, rows))
+    assert kept.columns == docs(spark, rows).columns and {r.doc_id for r in kept.collect()} == {None, *found.values()}
+    assert near_copy_groups(docs(spark, [])).count() == 0

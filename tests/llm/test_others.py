@@ -155,7 +155,7 @@ def test_pipeline(spark):
     import corpus_pipeline as P
 
     from docuforge.llm.decontaminate import contaminated
-    from docuforge.llm.simhash_dedup import simhash_groups
+    from docuforge.llm.near_copies import near_copy_groups
     from docuforge.llm.substring_dedup import substring_dedup
 
     sf = SF.replace("0.001", "0.01")
@@ -169,7 +169,7 @@ def test_pipeline(spark):
     assert all(a > b for a, b in zip(ids, ids[1:]) if a != b) and all(k.columns == docs_.columns for k in kept[:-1])
     bad = {r.doc_id for r in labels.where("quality = 0").collect()}
     assert len((ids[0] - ids[1]) - bad) <= len(ids[0] - ids[1]) and not ((ids[0] - ids[1]) & {r.doc_id for r in labels.where("quality = 1").collect()})
-    assert ids[2] == {r.component_id for r in simhash_groups(kept[1], shingle=5).collect()}
+    assert ids[2] == {r.component_id for r in near_copy_groups(kept[1]).collect()}
     cut = {r.doc_id: r.kept_text for r in substring_dedup(kept[2]).where("n_removed > 0").collect()}
     assert {r.doc_id: r.text for r in kept[3].collect() if r.doc_id in cut} == {i: t for i, t in cut.items() if t}
     assert all(r.n_chars == len(r.text) for r in kept[3].collect())
