@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from docuforge.llm.decontaminate import without_contaminated
 from docuforge.llm.mixing import mix
+from docuforge.llm.near_copies import keep_first
 from docuforge.llm.quality_classifier import fit, with_score
-from docuforge.llm.simhash_dedup import keep_first
 from docuforge.llm.substring_dedup import substring_dedup
 
 
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
     return keep_first(docs)
 
 
