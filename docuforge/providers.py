@@ -203,3 +203,38 @@ class QueryCache:
                 raise KeyError(f"no cached vector for {query!r}")
             self.known[key] = self.provider.query(query)
         return self.known[key]
+
+
+@dataclass
+class ImageProvider:
+    """An image embedder: base64 images or a text query in, vectors of a fixed length out."""
+
+    url: str
+    dimensions: int
+    normalize: bool = True
+    timeout: float = 60
+
+    def images(self, encoded: list[str]) -> list[list[float]]:
+        return self._checked(post(self.url, {"images": encoded, "normalize": self.normalize}, timeout=self.timeout), len(encoded))
+
+    def query(self, text: str) -> list[float]:
+        return self._checked(post(self.url, {"query": text, "normalize": self.normalize}, timeout=self.timeout), 1)[0]
+
+    def _checked(self, answer: dict, n: int) -> list[list[float]]:
+        vectors = ollama_vectors(answer)
+        if len(vectors) != n or any(len(v) != self.dimensions for v in vectors):
+            raise DimensionError(f"{len(vectors)} vectors for {n} images, or not of {self.dimensions} dimensions")
+        return vectors
+
+
+def embed_images(images: DataFrame, provider: ImageProvider, keep: list[str], batch: int = 16) -> DataFrame:
+    """(keep..., vector, error) of (content binary): batches, and one by one where a batch fails; bad images get an error."""
+    from pyspark.sql import functions as F
+
+    class Encoded(Provider):
+        profile = Profile("image", provider.dimensions, "", "")
+
+        def embed(self, texts: list[str]) -> list[list[float]]:
+            return provider.images(texts)
+
+    return embed_frame(images.withColumn("_b64", F.base64("content")), Encoded(), "_b64", keep, batch, by_row=True)
