@@ -87,8 +87,19 @@ def lexical_files(index: Index, s: Search) -> DataFrame:
 
 
 def vector_chunks(index: Index, s: Search) -> DataFrame:
-    """Exact nearest chunks: a scan with a heap a partition."""
+    """Exact nearest chunks: a scan with a heap a partition.
+
+    Texts are only fetched for chunks that can still be among the best 2 * limit: keyword and metadata
+    scores add at most their weights, so a chunk further below the 2 * limit-th nearest than that is out.
+    """
     near = index.embeddings.withColumn("vector_score", F.greatest(cosine(F.col("vector"), vector_literal(s.query_vector)), F.lit(0.0))).drop("vector")
+    wv, wk, wm = s.weights
+    if not s.prefilter and (s.mode == "vector" or (wv > 0 and min(wk, wm) >= 0)):
+        near = near.join(index.chunks.select("chunk_id"), "chunk_id", "left_semi")
+        page = near.select("vector_score").orderBy(F.col("vector_score").desc()).limit(2 * s.limit)
+        slack = 0.0 if s.mode == "vector" else (wk + wm) / wv
+        floor = page.agg((F.min("vector_score") - slack - 1e-9).alias("_floor"))  # one row
+        near = near.crossJoin(F.broadcast(floor)).where(F.col("vector_score") >= F.col("_floor")).drop("_floor")
     rows = _scored(_narrowed(near.join(index.placed(), "chunk_id"), s), s, _weights(s), F.concat_ws("\n", "path", "text"), F.col("vector_score"))
     rows = _rows(rows.withColumn("snippet", F.substring("text", 1, s.snippet_chars)), 2, s, index, "chunk")
     return top_k(rows, 2 * s.limit)

@@ -145,3 +145,22 @@ def test_stream(spark, tmp_path):
         index_stream(file_stream(spark, str(folder)), s, str(tmp_path / "cp")).awaitTermination()
         assert s.read("files").count() == n
         (folder / "b.md").write_text("# B\n")
+
+
+def test_pruned_scan_is_exact(spark):
+    """The best chunks are those of the whole scan, whatever the weights."""
+    import random
+
+    r = random.Random(2)
+    n = 300
+    files = spark.createDataFrame([(i, f"d/{i}.md", None, "md") for i in range(n)], "file_id long, path string, content string, file_type string")
+    chunks = spark.createDataFrame([(i, i, 0, r.choice(["alpha beta", "alpha", "none here"]), 1, 1) for i in range(n)], "chunk_id long, file_id long, chunk_index long, text string, start_line long, end_line long")
+    vectors = spark.createDataFrame([(i, [r.random(), r.random()]) for i in range(n + 20)], "chunk_id long, vector array<float>")
+    i = Index(files, chunks, chunks.selectExpr("text term", "chunk_id", "1L tf").limit(0), None, vectors)
+    for mode, weights in (("hybrid", (0.65, 0.3, 0.05)), ("hybrid", (1.0, 0.0, 0.0)), ("vector", (0.65, 0.3, 0.05))):
+        s = dict(query="alpha beta", mode=mode, weights=weights, query_vector=[1.0, 0.2], limit=7)
+        from docuforge.plans.search import vector_chunks
+
+        pruned = [(x.chunk_id, round(x.score, 9)) for x in vector_chunks(i, Search(**s)).collect()]
+        whole = [(x.chunk_id, round(x.score, 9)) for x in vector_chunks(i, Search(**s, prefilter=True)).collect()]
+        assert pruned == whole and len(pruned) == 14
