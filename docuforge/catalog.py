@@ -480,6 +480,32 @@ def image_path_like(spark, sf):
     return found.where(T.keyword_score("example.net", F.col("path")) > 0).orderBy("path", "page_id").limit(20)
 
 
+_IMAGES = "img AS (SELECT doc_id, 'img/' || source || '_' || doc_id || '.png' AS path FROM documents)"
+
+
+def _image_index(spark, sf) -> Index:
+    """Documents as images, with the vectors of the same numbers."""
+    d = read_table(spark, sf, "documents")
+    path = F.concat(F.lit("img/"), "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".png"))
+    files = d.select(F.col("doc_id").alias("file_id"), path.alias("path"), F.lit(None).cast("string").alias("content"), F.lit("png").alias("file_type"))
+    vectors = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("vector"))
+    chunks = spark.createDataFrame([], "chunk_id long, file_id long, chunk_index long, text string, start_line long, end_line long")
+    return Index(files, chunks, images=d.select(F.col("doc_id").alias("image_id"), F.col("doc_id").alias("file_id")), image_embeddings=vectors)
+
+
+@query(f"""WITH {_Q0}, {_IMAGES}, b AS (SELECT doc_id, path, round(greatest({_COS}, 0), 6) AS score FROM img JOIN embeddings e ON e.vec_id = doc_id, q)
+ SELECT doc_id, path, score FROM b ORDER BY score DESC, path LIMIT 10""")
+def image_vector_topk(spark, sf):
+    s = Search("src1_", mode="vector", kind="image", image_vector=query_vector(spark, sf))
+    return search(_image_index(spark, sf), s)[0].select(F.col("chunk_id").alias("doc_id"), "path", r6(F.col("score")).alias("score"))
+
+
+@query(f"WITH {_IMAGES} SELECT doc_id, path, 1.0::DOUBLE AS score FROM img WHERE lower(path) LIKE '%src1_%' ORDER BY path LIMIT 10")
+def search_images(spark, sf):
+    s = Search("src1_", kind="image", image_vector=query_vector(spark, sf))
+    return search(_image_index(spark, sf), s)[0].select(F.col("chunk_id").alias("doc_id"), "path", r6(F.col("score")).alias("score"))
+
+
 # --- chunking and embedding ------------------------------------------------------------------------------
 
 
