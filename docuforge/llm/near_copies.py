@@ -135,7 +135,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = classes.join(labelled, classes.key == labelled.node, "left").select("fp", "fp2", "least_id", F.coalesce("component", "key").alias("component"))
     named = scratch.table(named, "named")
     tops = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    final = scratch.table(named.join(tops, "component").select("fp", "fp2", "component_id"), "final")
+    final = named.join(tops, "component").select("fp", "fp2", "component_id")
     return prints.join(final, ["fp", "fp2"]).select("doc_id", "component_id")
 
 
