@@ -201,3 +201,21 @@ def test_near_copies(spark, crowd):
     kept = keep_first(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns and {r.doc_id for r in kept.collect()} == {None, *found.values()}
     assert near_copy_groups(docs(spark, [])).count() == 0
+
+
+def test_pairs_in_a_crowd_that_shares_boilerplate(spark):
+    """A copy is found though many texts below the threshold lie nearer by fingerprint."""
+    r = random.Random(11)
+    shared, rows = [f"s{i}" for i in range(400)], []
+    for i in range(700):
+        own = [f"t{i}x{j}" for j in range(77)]
+        rows.append((2 * i, " ".join([*shared, *own])))
+        if i % 7 == 0:
+            rows.append((2 * i + 1, " ".join([*shared, *own[:35], *(f"u{r.random()}" for _ in range(42))])))
+    bags = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    links = [(a, b) for a in bags for b in bags if a < b and len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b])]
+    wanted = components(bags, links)
+    found = {r.doc_id: r.component_id for r in near_copy_groups(docs(spark, rows)).collect()}
+    assert all(wanted[i] == wanted[c] for i, c in found.items())
+    lost = [(a, b) for a, b in links if found[a] != found[b]]
+    assert len(links) == 100 and len(lost) <= 0.05 * len(links)
