@@ -219,3 +219,14 @@ def test_pairs_in_a_crowd_that_shares_boilerplate(spark):
     assert all(wanted[i] == wanted[c] for i, c in found.items())
     lost = [(a, b) for a, b in links if found[a] != found[b]]
     assert len(links) == 100 and len(lost) <= 0.05 * len(links)
+
+
+def test_repeated_passages_do_not_hide_copies(spark):
+    """The same shingle set with other repeat counts is a near copy, however often a passage is repeated."""
+    r, rows = random.Random(12), []
+    for i in range(40):
+        w = [f"v{i}x{r.randrange(10**6)}" for _ in range(300)]
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join([*w, *w[-40:] * (2, 3, 5, 10, 20)[i % 5]]))]
+    found = {x.doc_id: x.component_id for x in near_copy_groups(docs(spark, rows)).collect()}
+    lost = [i for i in found if found[i] != i // 10 * 10]
+    assert len(found) == 80 and not lost, f"{len(lost)} of 40 lost"
