@@ -119,6 +119,19 @@ def test_rules_are_pruned_and_matched(spark):
     assert [r["_mined"] for r in match_rules(rows, [(("a", "b"), 1.0, 1.0)], "t").orderBy("i").collect()] == [True, False, False, False]
 
 
+def test_rules_of_many_tokens(spark):
+    """Four tokens together imply block; no three of them do."""
+    steps, pages = ["w", "x", "y", "z"], []
+    for n in range(6):
+        pages.append((len(pages), "http://h.com/w/x/y/z", 0))
+    for out in steps:
+        pages += [(len(pages) + n, "http://h.com/" + "/".join(s for s in steps if s != out), 1) for n in range(8)]
+    df = spark.createDataFrame(pages, "page_id long, url string, quality int")
+    labels = df.select(F.col("page_id").alias("doc_id"), "quality", F.lit(0).alias("toxic"))
+    found = url_verdicts(df.select("page_id", "url"), labels, RULES).collect()
+    assert {r.page_id for r in found if r.verdict == "block"} == set(range(6))
+
+
 @pytest.fixture(scope="module")
 def tokenizer_path():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
