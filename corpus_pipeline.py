@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docuforge.llm.common import free_name
 from docuforge.llm.decontaminate import without_contaminated
 from docuforge.llm.mixing import mix
 from docuforge.llm.near_copies import keep_first
@@ -20,7 +21,8 @@ from docuforge.llm.substring_dedup import substring_dedup
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.3 or more."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_score(docs, model, score_col="_score", at_least=0.3).drop("_score")
+    score = free_name("_score", docs.columns)
+    return with_score(docs, model, score_col=score, at_least=0.3).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = substring_dedup(docs, carry=True).where((F.col("n_words") > F.col("n_removed")) | (F.col("n_words") == 0))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_row.text"))
     own = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("_row.n_chars"))}
-    return cut.select(*[own.get(c, F.col(f"_row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    of = lambda c: F.col("_row").getField(c)
+    return cut.select(*[own.get(c, of(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,5 +199,14 @@ def batches_of(offsets: np.ndarray, most: int = BLOCK_BYTES):
         i = min(j, n)
 
 
-def id_order(column: str):
-    return F.col(column).asc_nulls_last()
+def own(name: str):
+    """A column by its name as it is, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(base: str, taken) -> str:
+    """``base``, with underscores added until no name in ``taken`` equals it, in any case of letters."""
+    used = {c.lower() for c in taken}
+    while base.lower() in used:
+        base += "_"
+    return base

@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docuforge.llm.common import Scratch
+from docuforge.llm.common import Scratch, free_name, own
 
 #: Key ranges: COARSE ranges of FINE parts each.
 COARSE, FINE = 256, 256
+#: Weights at which the map of keys to ranges is level; neighbours differ by half at most, down to the least weight.
+LEVELS = (1.0, 0.5, 0.25, 0.125, 0.0625, 0.05)
 #: Above so many sources the per-source table is joined by a shuffle, with salted sources, instead of broadcast.
 BROADCAST_SOURCES = 100_000
 SALTS = 64
@@ -32,6 +34,17 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.coalesce(1 - 4 * share, F.lit(1.0)), F.lit(0.05))
 
 
+def key_part(key: Column) -> Column:
+    """The range of a key: a monotone map that is the mean of the distributions of keys at the weights ``LEVELS``.
+
+    A row of weight w has an exponential key of rate w.  Whatever the weights from 0.05 to 1, the
+    rows of one weight fall into any range with at most 12 (levels times two) times the share of an even deal: one
+    in 5,461, so no range gathers a source.
+    """
+    level = sum((1 - F.exp(-key * w) for w in LEVELS), F.lit(0.0)) / len(LEVELS)
+    return F.least(F.floor(level * (COARSE * FINE)), F.lit(COARSE * FINE - 1)).cast("int")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], total_share: float, cap: float) -> DataFrame:
     """(source, source_size, target): weights repeat over the sources by code point, null last.
 
@@ -80,7 +93,7 @@ def mix(
 ) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row; ``keep`` adds columns of ``docs``.
 
-    Null and blank texts have size 0 and are taken 0 words.  A null source is a
+    A kept column named like one of these five, in any case of letters, comes out with underscores added.  Null and blank texts have size 0 and are taken 0 words.  A null source is a
     source of its own.  Keys come from a hash of id, text and ``seed``, so
     reruns agree; repeated rows tie and stand in for each other.  An
     empty table gives no rows.
@@ -94,11 +107,9 @@ def mix(
         word_count(text).alias("size"),
         F.xxhash64(F.col(id_col), text, F.lit(seed + 1)).alias("tie"),
         (-F.log(u) / quality_weight(text)).alias("key"),
-        *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep or [])],
+        *[own(c).alias(f"_keep_{i}") for i, c in enumerate(keep or [])],
     )
-    # A monotone map of the key to [0, 1): its ranges hold about equally many rows of weight one.
-    part = F.least(F.floor((1 - F.exp(-F.col("key"))) * (COARSE * FINE)), F.lit(COARSE * FINE - 1)).cast("int")
-    rows = scratch.table(rows.withColumn("part", part), "rows")
+    rows = scratch.table(rows.withColumn("part", key_part(F.col("key"))), "rows")
 
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     parts = scratch.table(parts.withColumn("coarse", F.floor(F.col("part") / FINE).cast("int")), "parts")
@@ -130,5 +141,9 @@ def mix(
     # The row in which the budget runs out is taken if that comes nearer to the budget.
     more_edge = at_edge.withColumn("more", (F.col("_upto") - F.col("size") / 2 <= F.col("rest")).cast("long")).drop("_upto")
     more = rows.where("part <> edge").withColumn("more", (F.col("part") < F.col("edge")).cast("long"))
-    names = [F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep or [])]
+    used, names = {"doc_id", "size", "source_size", "target", "taken", *(keep or [])}, []
+    for i, c in enumerate(keep or []):
+        clash = c.lower() in {"doc_id", "size", "source_size", "target", "taken"}
+        names.append(F.col(f"_keep_{i}").alias(free_name(c, used) if clash else c))
+        used.add(free_name(c, used) if clash else c)
     return more.unionByName(more_edge).select(F.col("doc_id"), "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"), *names)
