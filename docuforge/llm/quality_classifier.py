@@ -1,10 +1,11 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-Texts become hashed byte-bigram counts and counts of words that repeat one of the
-last three (square root, inverse document frequency), projected on the leading latent directions of a labelled sample.
+Texts become term counts (hashed byte bigrams, hashed words, and words that repeat one of the
+last three; square root, inverse document frequency), projected on the leading latent directions of a labelled sample.
 The labelled vectors are broadcast, which their documented bound allows.  Every
 document is compared with all of them, block by block, by exact cosine
-products; its nearest neighbours vote with their similarity as weight.
+products; its nearest neighbours vote, each with its cosine as weight (0 if negative).
+Of labelled vectors equally near, the ones with smaller ids are the neighbours.
 """
 
 from __future__ import annotations
@@ -16,16 +17,16 @@ from pyspark.sql import functions as F
 
 from docuforge.llm.common import batches_of, splitmix, text_buffers, word_hashes, words_of
 
-BIGRAMS, LAGS = 1024, (1, 2, 3)
-FEATURES = BIGRAMS + len(LAGS)
-#: How much the share of repeated words weighs against the shares of bigrams.
-REPEAT_WEIGHT = 2.0
+BIGRAMS, LAGS, WORDS = 1024, (1, 2, 3), 512
+FEATURES = BIGRAMS + len(LAGS) + WORDS
+#: How much the shares of repeated words, and of words, weigh against the shares of bigrams.
+REPEAT_WEIGHT, WORD_WEIGHT = 2.0, 0.5
 #: Hash bucket of each byte bigram.
 _BUCKET = (splitmix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(BIGRAMS)).astype(np.int32)
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Square roots of the bigram shares, and of the shares of repeated words, of each document, one row each."""
+    """Square roots of the shares of bigrams, repeated words and words of each document, one row each."""
     n = len(offsets) - 1
     out = np.zeros((n, BIGRAMS), np.float32)
     for i in range(n):
@@ -37,7 +38,9 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     words, doc = word_hashes(raw[offsets[0] : offsets[-1]], starts, ends), np.repeat(np.arange(n), counts)
     again = np.stack([np.bincount(doc[k:], (words[k:] == words[:-k]) & (doc[k:] == doc[:-k]), n) for k in LAGS], 1).astype(np.float32)
     again *= REPEAT_WEIGHT**2 / np.maximum(counts, 1)[:, None].astype(np.float32)
-    return np.sqrt(np.concatenate([out / np.maximum(total, 1), again], 1))
+    n_words = np.maximum(counts, 1)[:, None].astype(np.float32)
+    bag = np.bincount(doc * WORDS + (words % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS).astype(np.float32)
+    return np.sqrt(np.concatenate([out / np.maximum(total, 1), again, bag * (WORD_WEIGHT**2 / n_words)], 1))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, id_col: str, text_col: str, label_col: str, train) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +53,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, id_co
     def run(batches):
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            rows = features(raw, offsets).astype(np.float16)
+            rows = [r for i, j in batches_of(offsets) for r in features(raw, offsets[i : j + 1]).astype(np.float16)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["_id", "_y", "_f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -65,6 +68,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, id_co
     return x[order], y[order]
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Per row the columns of the ``k`` largest values; of equal values the first columns."""
+    last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+    chosen, tied = cosine > last, cosine == last
+    room = k - chosen.sum(1, keepdims=True)
+    chosen |= tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= room)
+    return np.nonzero(chosen)[1].reshape(len(cosine), k)
+
+
 class Neighbours:
     """A fitted model: the projection, the labelled vectors and the share of label 1."""
 
@@ -88,9 +100,9 @@ class Neighbours:
         v, out = self._unit((x * self.idf) @ self.axes), np.empty(len(x))
         for i in range(0, len(v), 256):
             cosine = v[i : i + 256] @ self.vectors.T
-            near = np.argpartition(-cosine, self.k - 1, axis=1)[:, : self.k]
-            weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** 8
-            # One pseudo-vote for the prior keeps texts without any neighbour, such as empty ones, defined.
+            near = nearest(cosine, self.k)
+            weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64)
+            # A small vote for the prior keeps texts without any neighbour, such as empty ones, defined.
             out[i : i + 256] = ((weight * self.y[near]).sum(1) + 1e-3 * self.prior) / (weight.sum(1) + 1e-3)
         return np.clip(out, 0, 1)
 
