@@ -91,8 +91,8 @@ def contaminated(
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = benchmark.select(F.col(item_id_col).alias("item_id"), shingles(F.col(item_text_col), shingle).alias("item"))
     items = scratch.table(items.where(F.size("item") > 0).withColumn("m", F.size("item")), "items")
-    facts = items.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(1))).first()
-    n_shingles, most = int(facts[0]), int(facts[1])
+    facts = items.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(1)), F.count("*")).first()
+    n_shingles, most, n_items = (int(x) for x in facts)
 
     # Where the documents share a shingle with an item, and how long that item is.
     known = items.select(F.explode("item").alias("h"), "m").distinct()
@@ -109,21 +109,24 @@ def contaminated(
     near = hits.join(lengths, "doc_id").where("pos < n").withColumn("w", F.least("m", "n"))
     near = near.withColumn("start", F.explode(F.sequence(F.greatest(F.col("pos") - F.col("w") + 1, F.lit(0)), F.least(F.col("pos"), F.col("n") - F.col("w")))))
     near = near.select("doc_id", "n", "m", "w", "start").distinct()
-    windows = near.join(bodies.withColumn("n", F.size("s")), ["doc_id", "n"]).select("doc_id", "m", "start", F.slice("s", F.col("start") + 1, F.col("w")).alias("bag"))
-    windows = scratch.table(with_simhash(windows, "bag", most, "fp"), "windows")
+    bags = near.join(bodies.withColumn("n", F.size("s")), ["doc_id", "n"]).withColumn("bag", F.slice("s", F.col("start") + 1, F.col("w")))
+    # Only places and fingerprints are kept; the few windows that meet an item fetch their shingles again.
+    windows = scratch.table(with_simhash(bags, "bag", most, "fp").select("doc_id", "n", "m", "w", "start", "fp"), "windows")
 
     # Multi-index: radius // BLOCKS differing bits at most in some block.
     share = radius // BLOCKS
     masks = [sum(1 << i for i in bits) for k in range(share + 1) for bits in combinations(range(BLOCK_BITS), k)]
     prints = scratch.table(with_simhash(items, "item", most, "item_fp"), "prints")
-    index = prints.select("item_id", "m", "item", "item_fp", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("item_fp"), b).alias("v")) for b in range(BLOCKS)])).alias("x"))
-    index = index.select("item_id", "m", "item", "item_fp", F.col("x.b").alias("b"), F.explode(F.array(*[F.col("x.v").bitwiseXOR(F.lit(k)) for k in masks])).alias("v"))
-    probes = windows.select("doc_id", "m", "start", "bag", "fp", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])).alias("x"))
-    probes = probes.select("doc_id", "m", "start", "bag", "fp", F.col("x.b").alias("b"), F.col("x.v").alias("v"))
+    blocks = lambda fp: F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col(fp), b).alias("v")) for b in range(BLOCKS)]))
+    index = prints.select("item_id", "m", "item_fp", blocks("item_fp").alias("x"))
+    index = index.select("item_id", "m", "item_fp", F.col("x.b").alias("b"), F.explode(F.array(*[F.col("x.v").bitwiseXOR(F.lit(k)) for k in masks])).alias("v"))
+    probes = windows.select("*", blocks("fp").alias("x")).select("*", F.col("x.b").alias("b"), F.col("x.v").alias("v")).drop("x")
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.coalesce(*[F.when(F.bit_count(block(apart, b)) <= share, F.lit(b)) for b in range(BLOCKS)])
-    met = probes.join(_sized(index, n_shingles * len(masks)), ["m", "b", "v"]).where((F.bit_count(apart) <= radius) & (F.col("b") == first))
-    met = met.select("doc_id", "item_id", "start", weighted_similarity(F.col("bag"), F.col("item")).alias("similarity"))
+    met = probes.join(_sized(index, n_items * BLOCKS * len(masks)), ["m", "b", "v"]).where((F.bit_count(apart) <= radius) & (F.col("b") == first))
+    met = scratch.table(met.select("doc_id", "n", "w", "item_id", "start"), "met")
+    held = met.join(bodies.withColumn("n", F.size("s")), ["doc_id", "n"]).join(_sized(items.select("item_id", "item"), n_shingles), "item_id")
+    met = held.select("doc_id", "item_id", "start", weighted_similarity(F.slice("s", F.col("start") + 1, F.col("w")), F.col("item")).alias("similarity"))
     best = met.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("s"))).alias("x"))
     return best.where(F.col("x.similarity") >= least).select("doc_id", "item_id", F.col("x.similarity").alias("similarity"), (-F.col("x.s")).alias("start"))
 
