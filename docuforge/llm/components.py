@@ -8,6 +8,28 @@ from pyspark.sql import functions as F
 from docuforge.llm.common import Scratch
 
 
+#: Components broadcast at most, and the size up to which a component is not hot.
+HOT_COMPONENTS, HOT_ROWS = 1_000_000, 256
+
+
+def with_least(rows: DataFrame, scratch: Scratch, least: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the smallest ``least`` of their ``component``.
+
+    Minima combine on the map side.  Components of more than ``HOT_ROWS`` rows, and of more than the
+    ``HOT_COMPONENTS``-th part of all rows, get theirs by a broadcast, which so many at most can need; no
+    task gathers a giant component.  Null components keep their rows, with a null.
+    """
+    tops = scratch.table(rows.groupBy(F.col("component").alias("_c")).agg(F.min(least).alias(name), F.count("*").alias("_n")), "tops")
+    n = tops.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = F.col("_n") > max(HOT_ROWS, n // HOT_COMPONENTS)
+    known = F.broadcast(tops.where(hot).select("_c", F.col(name).alias("_known"), F.lit(True).alias("_hot")))
+    rows = rows.join(known, rows["component"] == known["_c"], "left").drop("_c")
+    big = rows.where("_hot").select(*[c for c in rows.columns if c not in ("_known", "_hot")], F.col("_known").alias(name))
+    rest = rows.where("_hot is null").drop("_known", "_hot")
+    rest = rest.join(tops.where(~hot).select("_c", name), rest["component"] == F.col("_c"), "left").drop("_c")
+    return big.unionByName(rest)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, src: str = "a", dst: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable by links, for every node that has a link.
 

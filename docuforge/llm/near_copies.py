@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docuforge.llm.common import Scratch, splitmix
-from docuforge.llm.components import connected_components
+from docuforge.llm.components import connected_components, with_least
 from docuforge.llm.simhash_dedup import _flat, _signed, _unite, majority, segment_masks, shingle_hashes
 
 #: Members and shingles of a block, about; larger groups are dealt out as pairs of blocks.
@@ -157,8 +157,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     labelled = connected_components(links, scratch)
     named = classes.join(labelled, classes.key == labelled.node, "left").select("fp", "fp2", "least_id", F.coalesce("component", "key").alias("component"))
     named = scratch.table(named, "named")
-    tops = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    final = named.join(tops, "component").select("fp", "fp2", "component_id")
+    final = with_least(named, scratch, "least_id", "component_id").select("fp", "fp2", "component_id")
     return prints.join(final, ["fp", "fp2"]).select("doc_id", "component_id")
 
 

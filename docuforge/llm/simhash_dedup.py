@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docuforge.llm.common import Scratch
-from docuforge.llm.components import connected_components
+from docuforge.llm.components import connected_components, with_least
 
 BITS = 64
 #: Groups up to this size are compared all together, by shifts; larger ones block by block.
@@ -175,6 +175,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     labelled = scratch.table(labelled, "cc")
     ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     ids = ids.join(labelled, ids.fp == labelled.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    tops = ids.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.table(ids.join(tops, "component").select("fp", "component_id"), "named")
+    ids = scratch.table(ids, "ids")
+    named = scratch.table(with_least(ids, scratch, "least", "component_id").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
