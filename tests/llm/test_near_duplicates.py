@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from docuforge.llm.common import Scratch
-from docuforge.llm.components import connected_components
+from docuforge.llm.components import connected_components, with_least
 from docuforge.llm.decontaminate import contaminated, with_simhash, without_contaminated
 from docuforge.llm.embedding_dedup import embedding_groups
 from docuforge.llm.near_copies import keep_first, near_copy_groups
@@ -43,6 +43,14 @@ def test_components(spark):
     assert connected_components(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_least_of_giant_and_small_components(spark):
+    rows = [(i, 1 if i < 900 else i // 3) for i in range(1000)] + [(5000, None)]
+    df = spark.createDataFrame([(i, c, "x") for i, c in rows], "id long, component long, _known string")
+    wanted = {c: min(i for i, d in rows if d == c) for _, c in rows if c is not None}
+    found = with_least(df.drop("_known"), Scratch(spark, "t"), "id", "top").collect()
+    assert len(found) == len(rows) and all(r.top == wanted.get(r.component) for r in found)
+
+
 def simhash(text, n=4):
     w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     if not w:
@@ -113,6 +121,30 @@ def test_embeddings(spark):
     assert embedding_groups(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_scale_and_many_lengths(spark):
+    """Huge and tiny vectors have sound cosines, and every one of 70 lengths finds its links."""
+    g = np.random.default_rng(6)
+    rows = [(0, [1e200, 2e200], 0), (1, [2e200, 4e200], 0), (2, [1e-200, 2e-200], 0), (3, [1e-200, -2e-200], 0)]
+    for d in range(3, 73):
+        v = g.normal(size=d)
+        rows += [(10 * d, v.tolist(), 0), (10 * d + 1, (v * 3.0).tolist(), 0), (10 * d + 2, (-v).tolist(), 0)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [found[i] for i in range(4)] == [(2, 0), (2, 0), (2, 0), (0, 3)]
+    assert all(found[10 * d + k] == ((1, 10 * d), (1, 10 * d), (0, 10 * d + 2))[k] for d in range(3, 73) for k in range(3))
+
+
+def test_pivots_keep_apart_and_order():
+    from docuforge.llm.embedding_dedup import PIVOT_COSINE, _bits, apart, permutations, units
+
+    v = units(np.random.default_rng(1).normal(size=(500, 3)))
+    p = apart(v, 40)
+    c = p @ p.T
+    assert (c[~np.eye(len(p), dtype=bool)] < PIVOT_COSINE).all()
+    order = permutations(v, p, 5)
+    assert (np.diff(np.take_along_axis(v @ p.T, order, 1), axis=1) <= 0).all()
+    assert np.bitwise_count(_bits(order)).sum(1).max() <= 5
+
+
 def test_long_lists_are_dealt_as_blocks(spark, monkeypatch):
     from docuforge.llm import embedding_dedup
 
