@@ -72,11 +72,18 @@ class HashingProvider(Provider):
     def __init__(self, dimensions: int = 64, model: str = "hashed-words"):
         self.profile = Profile(model, dimensions)
 
+    def _content(self, text: str) -> str:
+        """The text without the profile's prefix, which is no content."""
+        for prefix in (self.profile.document_prefix, self.profile.query_prefix):
+            if prefix and text.startswith(prefix):
+                return text[len(prefix) :]
+        return text
+
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
             v = [0.0] * self.profile.dimensions
-            for word in text.lower().split()[1:]:  # the prefix is no content
+            for word in self._content(text).lower().split():
                 h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
                 v[h % len(v)] += 1.0 if h >> 63 else -1.0
             size = math.sqrt(sum(x * x for x in v))

@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 
 # What is indexed as text, as images, and what never is.
-TEXT_TYPES = "rs js ts jsx tsx py go zig gd html css json toml tmol yml yaml cs c cc cpp cxx h hh hpp hxx java kt kts swift sql xml svg lua glsl vert frag comp hlsl wgsl sh bash zsh mk md mdx txt rst adoc org ehmeta docx"
-TEXT_INCLUDE = ["AGENTS.md", "README*", "CHANGELOG*", "CONTRIBUTING*", "docs/**", "**/Dockerfile", "**/Dockerfile.*", "**/Makefile", *(f"**/*.{t}" for t in TEXT_TYPES.split())]
-IMAGE_INCLUDE = [f"**/*.{t}" for t in "png jpg jpeg webp gif bmp tif tiff".split()]
+TEXT_TYPES = ("rs", "js", "ts", "jsx", "tsx", "py", "go", "zig", "gd", "html", "css", "json", "toml", "tmol", "yml", "yaml", "cs", "c", "cc", "cpp", "cxx", "h", "hh", "hpp", "hxx", "java", "kt", "kts", "swift", "sql", "xml", "svg", "lua", "glsl", "vert", "frag", "comp", "hlsl", "wgsl", "sh", "bash", "zsh", "mk", "md", "mdx", "txt", "rst", "adoc", "org", "ehmeta", "docx")
+TEXT_INCLUDE = ["AGENTS.md", "README*", "CHANGELOG*", "CONTRIBUTING*", "docs/**", "**/Dockerfile", "**/Dockerfile.*", "**/Makefile", *(f"**/*.{t}" for t in TEXT_TYPES)]
+IMAGE_INCLUDE = [f"**/*.{t}" for t in ("png", "jpg", "jpeg", "webp", "gif", "bmp", "tif", "tiff")]
 EXCLUDE = [".git/**", "node_modules/**", "dist/**", "build/**", "target/**", ".next/**", ".venv/**", "__pycache__/**", "*.lock"]
 
 

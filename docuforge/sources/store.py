@@ -11,6 +11,39 @@ from pyspark.sql.types import StructType
 SCHEMA_VERSION = 3
 
 
+class ConflictError(RuntimeError):
+    """Another writer committed between the start and the end of a change."""
+
+
+class Change:
+    """Tables written beside the current state; ``commit`` makes them the current one together."""
+
+    def __init__(self, store: Store):
+        self.store, self.state, self.before, self.tables, self.held = store, uuid.uuid4().hex, store.manifest(), {}, []
+
+    def _save(self, df: DataFrame, folder: str, by: list[str] = ()) -> DataFrame:
+        path = f"{self.store.root}/{folder}"
+        df.write.partitionBy(*by).parquet(path)
+        return self.store.spark.read.schema(df.schema).parquet(path)
+
+    def put(self, name: str, df: DataFrame, by: list[str] = ()) -> DataFrame:
+        """Write a table's next state and return it."""
+        out = self._save(df, f"{name}/{self.state}", by)
+        self.tables[name] = f"{name}/{self.state}"
+        return out
+
+    def hold(self, name: str, df: DataFrame) -> DataFrame:
+        """Write rows that only this change needs and return them; they go at the end."""
+        self.held.append(f"{self.store.root}/held/{self.state}-{name}")
+        return self._save(df, f"held/{self.state}-{name}")
+
+    def commit(self) -> None:
+        self.store._commit(self.before, self.tables, self.state)
+        for path in self.held:
+            fs, p = self.store._fs(path)
+            fs.delete(p, True)
+
+
 class Store:
     """Tables below a root folder that any Hadoop file system holds."""
 
@@ -47,19 +80,27 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.root}/{folder}")
 
+    def begin(self) -> Change:
+        """A change of several tables that readers see whole or not at all."""
+        return Change(self)
+
     def write(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> None:
-        state = uuid.uuid4().hex
-        found = self.manifest()
+        change = self.begin()
         for name, df in tables.items():
-            folder = f"{name}/{state}"
-            df.write.partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{self.root}/{folder}")
-            found["tables"][name] = folder
+            change.put(name, df, (partition_by or {}).get(name, []))
+        change.commit()
+
+    def _commit(self, before: dict, tables: dict[str, str], state: str) -> None:
+        """One rename is the commit; a state that another writer has made since ``before`` is not overwritten."""
+        now = self.manifest()
+        if now.get("state") != before.get("state"):
+            raise ConflictError(f"the index at {self.root} was changed by another writer")
+        found = {**now, "state": state, "tables": {**now["tables"], **tables}}
         jvm = self.spark.sparkContext._jvm
         fs, new = self._fs(f"{self.root}/current-{state}.json")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(found).encode()))
         out.close()
-        # One rename is the commit.
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if "://" in self.root else self._uri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(
             new, self._fs(f"{self.root}/current.json")[1], self._overwrite()
         )

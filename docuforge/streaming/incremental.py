@@ -18,17 +18,10 @@ def file_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index_stream(files: DataFrame, store: Store, checkpoint: str, options: Options = Options()) -> StreamingQuery:
-    """Every micro-batch is indexed within the scope of its own files, so replays after a failure change nothing."""
+    """Every micro-batch adds or replaces its own files and touches no other, so replays after a failure change nothing."""
 
     def batch(df: DataFrame, _: int) -> None:
-        texts = extract_text(df).where("text is not null").select("path", "text", "modified_at")
-        old = store.read("files", "path string").select("path")
-        if old.isEmpty():
-            index(store, texts, options)
-            return
-        files = store.read("files")
-        rest = files.join(texts.select("path"), "path", "left_anti").select("path", F.col("content").alias("text"), "modified_at")
-        index(store, rest.unionByName(texts.withColumn("modified_at", F.col("modified_at").cast("string"))), options)
+        index(store, extract_text(df).select("path", "text", "modified_at"), options, upsert=True)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -6,7 +6,7 @@ from docuforge.plans.indexing import Options, dry_run, embed_missing, as_files,
 from docuforge.plans.reports import index_counts, rendered, result_json
 from docuforge.plans.search import Index, Search, search
 from docuforge.providers import HashingProvider, QueryCache
-from docuforge.sources.store import Store
+from docuforge.sources.store import ConflictError, Store
 
 TEXTS = {"docs/agents.md": "# Agent editing rules\n\nUse small patches for manual edits.\nKeep tests current.\n", "README.md": "This program indexes local documents.\n", "docs/old.md": "gone soon\n"}
 
@@ -41,6 +41,60 @@ def test_index_is_incremental(spark, store):
     assert store.vacuum() > 0 and store.read("files").count() == 3
 
 
+def test_changed_chunking_is_noticed(spark, store):
+    assert index(store, texts(spark, TEXTS), Options(chunking="off")) == {"discovered": 3, "changed": 3, "removed": 0}
+    assert {r.chunk_type for r in store.read("chunks").collect()} == {"off"}
+    assert index(store, texts(spark, TEXTS), Options(chunking="off"))["changed"] == 0
+
+
+def test_postings_follow_the_chunks(spark, store):
+    """After changes, the kept and the new postings are those of an index built at once."""
+    from docuforge.operators.lexical import build_index
+
+    index(store, texts(spark, {**TEXTS, "README.md": "Changed words.\n", "docs/new.md": "words\n"}))
+    index(store, texts(spark, {"docs/new.md": "words again\n"}), upsert=True)
+    postings, stats = build_index(store.read("chunks"))
+    rows = lambda df: sorted(tuple(r) for r in df.select(*sorted(df.columns)).collect())
+    assert rows(store.read("postings")) == rows(postings) and rows(store.read("stats")) == rows(stats)
+
+
+def test_one_commit_and_conflicts(spark, store):
+    before = store.manifest()
+    change = store.begin()
+    index(store, texts(spark, {**TEXTS, "x.md": "more\n"}))
+    after = store.manifest()
+    assert {n for n in after["tables"] if after["tables"][n] != before["tables"].get(n)} == {"files", "chunks", "embeddings", "postings", "stats"}
+    assert len({f.split("/")[1] for f in after["tables"].values()}) == 1
+    change.put("stats", store.read("stats").limit(0))
+    with pytest.raises(ConflictError):
+        change.commit()
+    assert store.manifest() == after
+
+
+def test_image_index(spark, tmp_path):
+    from docuforge.plans import indexing
+
+    class Images:
+        dimensions = 2
+
+        def images(self, encoded):
+            if "YmFk" in encoded:
+                raise ValueError("no image")
+            return [[float(len(x)), 1.0] for x in encoded]
+
+    s = Store(spark, str(tmp_path / "index"))
+    frame = lambda d: spark.createDataFrame([(p, bytearray(b)) for p, b in d.items()], "path string, content binary")
+    first = {"img/a.png": b"aaaa", "img/b.png": b"bad", "pics/c.png": b"cc"}
+    assert indexing.index_images(s, frame(first)) == {"discovered": 3, "changed": 3, "removed": 0}
+    assert indexing.embed_missing_images(s, frame(first), Images(), "p") == {"embedded": 2, "failed": 1}
+    assert indexing.embed_missing_images(s, frame(first), Images(), "p") == {"embedded": 0, "failed": 1}
+    then = {"img/a.png": b"changed", "img/d.png": b"d"}
+    assert indexing.index_images(s, frame(then), "img") == {"discovered": 2, "changed": 2, "removed": 1}
+    assert {r.path for r in s.read("image_files").collect()} == {"img/a.png", "img/d.png", "pics/c.png"}
+    assert s.read("image_embeddings").count() == 1
+    assert indexing.embed_missing_images(s, frame(then), Images(), "p") == {"embedded": 2, "failed": 0}
+
+
 def test_scope_limits_removal(spark, store):
     out = index(store, texts(spark, {"docs/agents.md": TEXTS["docs/agents.md"]}), Options(scope="docs"))
     assert out == {"discovered": 1, "changed": 0, "removed": 1}
@@ -147,6 +201,19 @@ def test_stream(spark, tmp_path):
         (folder / "b.md").write_text("# B\n")
 
 
+def test_stream_without_stored_contents(spark, tmp_path):
+    """Files of earlier batches stay, though their contents are not kept; so do their chunks."""
+    from docuforge.streaming.incremental import file_stream, index_stream
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    s = Store(spark, str(tmp_path / "index"))
+    for n, name in enumerate(("a.txt", "b.txt", "c.txt"), 1):
+        (folder / name).write_text(f"text of {name}\n")
+        index_stream(file_stream(spark, str(folder)), s, str(tmp_path / "cp"), Options(store_full_files=False)).awaitTermination()
+        assert s.read("files").count() == n and s.read("chunks").count() == n and s.read("stats").count() == n
+
+
 def test_pruned_scan_is_exact(spark):
     """The best chunks are those of the whole scan, whatever the weights."""
     import random
