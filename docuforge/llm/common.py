@@ -27,12 +27,14 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one in tests where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset and everything runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="docuforge-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
