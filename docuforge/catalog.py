@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docuforge.functions import text as T
@@ -189,10 +189,10 @@ def cosine_similarity(spark, sf):
     return read_table(spark, sf, "embeddings").select("vec_id", r6(V.cosine(F.col("embedding"), q)).alias("cosine"))
 
 
-@query(f"WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 5) SELECT vec_id, q.query::INT AS query, round({_COS}, 6) AS cosine FROM embeddings e, q")
+@query(f"WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0) SELECT vec_id, (q.query // 20)::INT AS query, round({_COS}, 6) AS cosine FROM embeddings e, q")
 def cosine_query_batch(spark, sf):
     e = read_table(spark, sf, "embeddings")
-    stated = [r["embedding"] for r in e.where("vec_id < 5").orderBy("vec_id").collect()]  # a stated query set, against all rows
+    stated = [r["embedding"] for r in e.where("vec_id % 20 = 0").orderBy("vec_id").collect()]  # a stated query set, against all rows
     return V.cosine_batch(e, stated, "embedding", ["vec_id"]).select("vec_id", "query", r6(F.col("cosine")).alias("cosine"))
 
 
@@ -364,10 +364,10 @@ def vector_scan_join(spark, sf):
     return e.join(d, e.vec_id == d.doc_id).join(p, e.vec_id == p.page_id).select("vec_id", "source", "url")
 
 
-@query("SELECT s_suppkey AS profile, count(l_orderkey) AS embeddings FROM supplier LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON l_suppkey = s_suppkey GROUP BY s_suppkey")
+@query("SELECT s_suppkey AS profile, count(l_orderkey) AS embeddings FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey")
 def profile_embedding_counts(spark, sf):
     profiles = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("profile"))
-    vectors = read_table(spark, sf, "lineitem").where("l_quantity > 45").withColumnRenamed("l_suppkey", "profile")
+    vectors = read_table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "profile")
     return profile_counts(profiles, vectors, "profile")
 
 
@@ -419,26 +419,55 @@ def upsert_latest(spark, sf):
 
 
 def _index(spark, sf, **more) -> Index:
-    """Conversations as files of turns, with the vectors that share their numbering."""
+    """Conversations as files of turns; every turn has one of the vectors."""
     c = read_table(spark, sf, "conversations")
-    order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     chunks = turn_chunks(spark, sf)
     chunks = chunks.withColumns({"start_line": F.col("chunk_index") + 1, "end_line": F.col("chunk_index") + 1})
     files = c.select(F.col("conv_id").alias("file_id")).distinct().select("file_id", F.concat(F.lit("chat/"), F.col("file_id").cast("string"), F.lit(".md")).alias("path"), F.lit(None).cast("string").alias("content"), F.lit("md").alias("file_type"))
     postings, stats = L.build_index(chunks, stem=False)
     e = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").alias("vector"))
-    numbered = c.select("conv_id", "turn", order.alias("t"))
-    vectors = numbered.where("t = 1").join(e, numbered.conv_id == e.n).select((F.col("conv_id") * 100000 + F.col("turn")).alias("chunk_id"), "vector")
+    of_turn = c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("chunk_id"), ((F.col("conv_id") * 7 + F.col("turn")) % e.count()).alias("n"))
+    vectors = of_turn.join(e, "n").select("chunk_id", "vector")
     return Index(files, chunks, postings, stats, vectors, profile_hash="fixed", stem=False, **more)
 
 
-@query()
+# The branches of a search over turns, in SQL: rows (branch, level, path, file_id, chunk_id, chunk_index, text, score, v, k, m).
+_ORDERED = "score DESC, v DESC, k DESC, m DESC, path, file_id, chunk_id NULLS LAST"
+_VECTORS = f"""{_Q0}, vec AS (SELECT conv_id * 100000 + turn AS chunk_id, conv_id AS file_id, e.embedding::DOUBLE[] AS v FROM conversations JOIN embeddings e ON e.vec_id = (conv_id * 7 + turn) % (SELECT count(*) FROM embeddings)),
+ near AS (SELECT t.*, greatest(list_cosine_similarity(vec.v, q.v), 0) AS v, {_kw("path || chr(10) || text")} AS k, {_kw("path")} AS m FROM turns t JOIN vec USING (chunk_id), q)"""
+_LEXICAL = f"""terms AS (SELECT term, greatest(ln((n - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM p, tot WHERE term IN ('the', 'tion', 'eaux') GROUP BY term, n),
+ bm AS (SELECT p.chunk_id, sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS s FROM p JOIN terms USING (term) JOIN st USING (chunk_id), tot GROUP BY 1),
+ cand AS (SELECT turns.*, {_kw("path || chr(10) || text")} AS k, {_kw("path")} AS m FROM bm JOIN turns USING (chunk_id) ORDER BY s DESC, path, chunk_index LIMIT 40),
+ lexical AS (SELECT 0 AS branch, 'chunk' AS level, path, file_id, chunk_id, text, least(greatest(k * 0.85 + m * 0.15, 0), 1) AS score, 0.0::DOUBLE AS v, k, m FROM cand)"""
+_FUSED_CHUNKS = f"""vectors AS (SELECT 2 AS branch, 'chunk' AS level, path, file_id, chunk_id, text, least(greatest(v * 0.65 + k * 0.3 + m * 0.05, 0), 1) AS score, v, k, m FROM near ORDER BY {_ORDERED} LIMIT 20)"""
+_WHOLE = f"""whole AS (SELECT file_id, path, string_agg(text, chr(10) ORDER BY chunk_index) AS content FROM turns GROUP BY file_id, path),
+ page AS (SELECT * FROM whole WHERE file_id IN (SELECT file_id FROM turns WHERE chunk_id IN (SELECT chunk_id FROM p WHERE term IN ('the', 'tion', 'eaux'))) ORDER BY path LIMIT 10),
+ lexical_files AS (SELECT 1 AS branch, 'file' AS level, path, file_id, NULL::BIGINT AS chunk_id, content AS text, least(greatest(k * 0.85 + m * 0.15, 0), 1) AS score, 0.0::DOUBLE AS v, k, m FROM (SELECT *, {_kw("path || chr(10) || content")} AS k, {_kw("path")} AS m FROM page)),
+ mean AS (SELECT file_id, list(x ORDER BY i) AS c FROM (SELECT file_id, i, avg(x) AS x FROM (SELECT file_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vec) GROUP BY file_id, i) GROUP BY file_id),
+ near_files AS (SELECT whole.*, greatest(list_cosine_similarity(mean.c, q.v), 0) AS v, {_kw("path || chr(10) || substring(content, 1, 700)")} AS k, {_kw("path")} AS m FROM whole JOIN mean USING (file_id), q),
+ vector_files AS (SELECT 3 AS branch, 'file' AS level, path, file_id, NULL::BIGINT AS chunk_id, content AS text, least(greatest(v * 0.65 + k * 0.3 + m * 0.05, 0), 1) AS score, v, k, m FROM near_files ORDER BY {_ORDERED} LIMIT 10)"""
+
+
+def _cut_sql(rows: str, n: int, name: str = "result") -> str:
+    """Best row a (file, chunk, level), enough for the cap, the cap of 3 chunks a file, the first ``n``."""
+    return f"""{name}_best AS (SELECT * FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY file_id, chunk_id, level ORDER BY score DESC, branch) = 1),
+ {name}_top AS (SELECT * FROM {name}_best ORDER BY {_ORDERED} LIMIT {3 * n}),
+ {name}_capped AS (SELECT * FROM {name}_top QUALIFY level <> 'chunk' OR row_number() OVER (PARTITION BY file_id, level ORDER BY {_ORDERED}) <= 3),
+ {name} AS (SELECT * FROM {name}_capped ORDER BY {_ORDERED} LIMIT {n})"""
+
+
+_BOTH = "SELECT * FROM lexical UNION ALL SELECT * FROM vectors"
+
+
+@query(f"""WITH {_TOKENS}, {_VECTORS}, {_LEXICAL}, {_FUSED_CHUNKS}, {_WHOLE}, {_cut_sql(_BOTH + " UNION ALL SELECT * FROM lexical_files UNION ALL SELECT * FROM vector_files", 10)}
+ SELECT path, level, coalesce(chunk_id, -1) AS chunk_id, round(score, 6) AS score FROM result""")
 def search_hybrid(spark, sf):
     s = Search(QUERY, level="both", query_vector=query_vector(spark, sf))
-    return search(_index(spark, sf), s)[0].select("path", "level", "chunk_id", r6(F.col("score")).alias("score"))
+    return search(_index(spark, sf), s)[0].select("path", "level", F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"), r6(F.col("score")).alias("score"))
 
 
-@query()
+@query(f"""WITH {_TURNS}, {_VECTORS}, vectors AS (SELECT 2 AS branch, 'chunk' AS level, path, file_id, chunk_id, text, least(v, 1) AS score, v, k, m FROM near ORDER BY {_ORDERED} LIMIT 20), {_cut_sql("SELECT * FROM vectors", 10)}
+ SELECT path, level, chunk_id, round(score, 6) AS score FROM result""")
 def search_vector(spark, sf):
     s = Search(QUERY, mode="vector", query_vector=query_vector(spark, sf))
     return search(_index(spark, sf), s)[0].select("path", "level", "chunk_id", r6(F.col("score")).alias("score"))
@@ -455,13 +484,17 @@ def search_keyword(spark, sf):
     return search(_index(spark, sf), Search(QUERY, mode="keyword"))[0].select("chunk_id", "path", r6(F.col("score")).alias("score"))
 
 
-@query()
+@query(f"""WITH {_TOKENS}, {_LEXICAL}, {_cut_sql("SELECT * FROM lexical", 50, "pool")},
+ numbered AS (SELECT *, row_number() OVER (ORDER BY {_ORDERED}) AS n, length(path || chr(10) || substring(text, 1, 700)) / 1000.0::DOUBLE AS longest FROM pool),
+ judged AS (SELECT * REPLACE (coalesce(CASE WHEN row_number() OVER (ORDER BY longest DESC, n) <= 5 THEN longest END, score) AS score), CASE WHEN row_number() OVER (ORDER BY longest DESC, n) <= 5 THEN longest END AS rerank_score FROM numbered),
+ {_cut_sql("SELECT * FROM judged", 10)} SELECT path, chunk_id, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score FROM result""")
 def search_reranked(spark, sf):
     longest = lambda q, texts: sorted(((i, len(t) / 1000) for i, t in enumerate(texts)), key=lambda x: -x[1])[:5]
     return search(_index(spark, sf), Search(QUERY, mode="keyword"), longest)[0].select("path", "chunk_id", r6(F.col("score")).alias("score"), r6(F.col("rerank_score")).alias("rerank_score"))
 
 
-@query()
+@query(f"""WITH {_TOKENS}, {_VECTORS}, {_LEXICAL}, {_FUSED_CHUNKS}, {_cut_sql(_BOTH, 10)}
+ SELECT path, chunk_id, level, round(score, 6) AS score, array_to_string(list_filter([CASE WHEN v > 0 THEN 'vector' END, CASE WHEN k > 0 THEN 'keyword' END, CASE WHEN m > 0 THEN 'metadata' END], lambda x: x IS NOT NULL), ' + ') AS reason FROM result""")
 def search_explained(spark, sf):
     s = Search(QUERY, query_vector=query_vector(spark, sf))
     return explained(search(_index(spark, sf), s)[0]).withColumn("score", r6(F.col("score")))
@@ -563,3 +596,19 @@ def windowed_events(spark, sf):
 
     w = windowed_counts(read_table(spark, sf, "events"))
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH img AS (SELECT doc_id AS image_id, md5(source) AS hash FROM documents), vec AS (SELECT vec_id AS image_id, md5(source) AS hash FROM embeddings JOIN documents ON doc_id = vec_id WHERE label < 5)
+ SELECT image_id FROM img WHERE NOT EXISTS (SELECT 1 FROM vec WHERE vec.image_id = img.image_id AND vec.hash = img.hash)""")
+def missing_images(spark, sf):
+    from docuforge.plans.indexing import missing_images as missing
+
+    images = read_table(spark, sf, "documents").select(F.col("doc_id").alias("image_id"), F.md5("source").alias("hash"))
+    e = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.when(F.col("label") < 5, "p").otherwise("other").alias("profile_hash"))
+    return missing(images, e.join(images, "image_id"), "p").select("image_id")
+
+
+from docuforge import catalog_chunks  # noqa: E402
+
+QUERIES |= catalog_chunks.QUERIES
+ORACLES |= catalog_chunks.ORACLES
