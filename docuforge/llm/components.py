@@ -2,12 +2,59 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docuforge.llm.common import Scratch
 
 
+def _flat(root: np.ndarray) -> np.ndarray:
+    while (up := root[root]).tolist() != root.tolist():
+        root = up
+    return root
+
+
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union by minimum, in place, vectorised: repeats until every pair shares a root."""
+    while len(a):
+        flat = _flat(root)
+        root[:] = flat
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+
+
+#: Links that a task joins at a time.
+HELD_LINKS = 1 << 20
+
+
+def _contract(batches):
+    """Links that join what the links of the task join: each node to the smallest it is joined with."""
+
+    def forest(held):
+        ends = np.concatenate([np.concatenate(x) for x in zip(*held)])
+        nodes, at = np.unique(ends, return_inverse=True)
+        root = np.arange(len(nodes))
+        _unite(root, at[: len(at) // 2], at[len(at) // 2 :])
+        root = _flat(root)
+        child = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], names=["hi", "lo"])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+        if n >= HELD_LINKS:
+            yield forest(held)
+            held, n = [], 0
+    if held:
+        yield forest(held)
+
+
 #: Components broadcast at most, and the size up to which a component is not hot.
 HOT_COMPONENTS, HOT_ROWS = 1_000_000, 256
 
@@ -38,10 +85,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "a", dst
     join, which AQE can split where a node is a hub.  Edges are written to the
     shared folder after each round and the number of rounds grows with the
     logarithm of the largest component.
-    Nulls: edges with a null end are dropped.  Loops and repeated edges do no harm.
+    Nodes are integers.  Nulls: edges with a null end are dropped.  Loops and repeated edges do no harm.
     """
     e = edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"), (F.col(src).isNotNull() & F.col(dst).isNotNull()).alias("ok"))
-    e = scratch.table(e.where("ok and hi <> lo").select("hi", "lo").distinct(), "cc-0")
+    # Repeated links, and links that a node has to many of one component, shrink to one before the first round.
+    e = e.where("ok and hi <> lo").select(F.col("hi").cast("long").alias("hi"), F.col("lo").cast("long").alias("lo"))
+    e = scratch.table(e.repartition("hi").mapInArrow(_contract, "hi bigint, lo bigint"), "cc-0")
     step = 0
     while True:
         # Large star: every node's larger neighbours move to the smallest node of its neighbourhood.

@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from docuforge.llm.common import Scratch
-from docuforge.llm.components import connected_components, with_least
-from docuforge.llm.simhash_dedup import _flat, _unite
+from docuforge.llm.components import _flat, _unite, connected_components, with_least
 
 #: Rows of a list compared in one task; a longer list is dealt out as pairs of blocks.
 BLOCK = 4096

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docuforge.llm.common import Scratch, splitmix
-from docuforge.llm.components import connected_components, with_least
-from docuforge.llm.simhash_dedup import _flat, _signed, _unite, majority, segment_masks, shingle_hashes
+from docuforge.llm.components import _flat, _unite, connected_components, with_least
+from docuforge.llm.simhash_dedup import _signed, majority, segment_masks, shingle_hashes
 
 #: Members and shingles of a block, about; larger groups are dealt out as pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 20

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docuforge.llm.common import Scratch
-from docuforge.llm.components import connected_components, with_least
+from docuforge.llm.components import _flat, _unite, connected_components, with_least
 
 BITS = 64
 #: Groups up to this size are compared all together, by shifts; larger ones block by block.
@@ -129,23 +129,6 @@ def _forest(radius: int):
     return masks, run
 
 
-def _flat(root: np.ndarray) -> np.ndarray:
-    while (up := root[root]).tolist() != root.tolist():
-        root = up
-    return root
-
-
-def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Union by minimum, in place, vectorised: repeats until every pair shares a root."""
-    while len(a):
-        flat = _flat(root)
-        root[:] = flat
-        ra, rb = root[a], root[b]
-        apart = ra != rb
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-
-
 def linked_fingerprints(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b) links among distinct fingerprints whose components are those of all pairs within ``radius``.
 
