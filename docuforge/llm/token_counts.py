@@ -3,16 +3,20 @@
 Ordinary texts are cut at ASCII white space, where the tokenizer always splits
 too, and the distinct pieces of a batch are encoded.  A huge text is encoded in
 overlapping chunks, with offsets.  Two neighbouring encodings are spliced at a
-boundary both agree on and that is proven stable: inside the overlap, white
-space that no token spans, with the same tokens on both sides of it.  The tokenizer
-drops white space and splits there before it merges, so what stands left of
+boundary both agree on and that is proven stable, inside the overlap and with the same tokens on
+both sides of it: white space that no token spans, or two characters that the
+splitter never leaves in one piece, such as a letter and a full stop.  The tokenizer
+splits there before it merges, so what stands left of
 such a boundary never changes the tokens right of it.  Where no boundary of an
-overlap is proven, the overlap is doubled, at last to the rest of the text.
+overlap is proven, the overlap is doubled, at last to the rest of the text; text that is one
+unbroken run of letters is one piece to the tokenizer, and is encoded in one call.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,9 +42,47 @@ def _spans(tokenizer, text: str, start: int, end: int) -> list[tuple[int, int, i
     return [(i, a + start, b + start) for i, (a, b) in zip(e.ids, e.offsets)]
 
 
-def _meet(text: str, left: list, right: list, lo: int, hi: int, margin: int) -> tuple[int, int] | None:
-    """Positions in ``left`` and ``right`` after which both go on equally, at white space inside [lo + margin, hi - margin]."""
-    starts = {a: k for k, (_, a, _) in enumerate(right)}
+@lru_cache(maxsize=1 << 16)
+def _apart(tokenizer, x: str, y: str) -> bool:
+    """Whether normalizer and splitter treat ``x`` and ``y`` apart wherever they stand side by side.
+
+    The splitter knows runs of letters, single numbers, runs of other signs, and
+    endings after an apostrophe; so but for the apostrophe, two characters that it parts by themselves
+    are of different kinds, or numbers, and it parts them everywhere.  Marks and Hangul vowels and finals are left out as
+    ``y``: only these compose with, or change places with, what precedes them.
+    """
+    if unicodedata.category(y)[0] == "M" or "\u1160" <= y <= "\u11ff":
+        return False
+    normal = tokenizer.normalizer.normalize_str
+    left, both = normal(x), normal(x + y)
+    if not left or left[-1] == "'" or both != left + normal(y):
+        return False
+    return any(a == len(left) for _, (a, _) in tokenizer.pre_tokenizer.pre_tokenize_str(both))
+
+
+@lru_cache(maxsize=1 << 10)
+def _is_space(tokenizer, c: str) -> bool:
+    return tokenizer.normalizer.normalize_str(c) == " "
+
+
+@lru_cache(maxsize=8)
+def _special(tokenizer) -> tuple[str, ...]:
+    return tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+
+
+def _stable(tokenizer, text: str, before: int, at: int) -> bool:
+    """Whether the tokens from ``at`` on depend on nothing before it; the token in front ends at ``before``."""
+    if before < at:
+        return any(_is_space(tokenizer, c) for c in text[before:at])
+    # A special string is found before anything is split.
+    return _apart(tokenizer, text[at - 1], text[at]) and not any(s in text[max(0, at - len(s) + 1) : at + len(s) - 1] for s in _special(tokenizer))
+
+
+def _meet(tokenizer, text: str, left: list, right: list, lo: int, hi: int, margin: int) -> tuple[int, int] | None:
+    """Positions in ``left`` and ``right`` after which both go on equally, at a stable boundary inside [lo + margin, hi - margin]."""
+    starts: dict[int, int] = {}
+    for k, (_, a, _) in enumerate(right):
+        starts.setdefault(a, k)  # several tokens may stand for one character
     for k in range(len(left) - 1, 0, -1):
         i, a, b = left[k]
         if a < lo + margin:
@@ -49,8 +91,7 @@ def _meet(text: str, left: list, right: list, lo: int, hi: int, margin: int) ->
         if j is None or j == 0 or b > hi - margin or right[j] != left[k] or right[j - 1] != left[k - 1]:
             continue
         before = left[k - 1][2]
-        # ASCII white space between the two tokens: the splitter ends a piece there whatever stands around it.
-        if before < a and any(c in " \t\n\r" for c in text[before:a]) and right[j - 1][2] == before:
+        if before <= a and _stable(tokenizer, text, before, a):
             return k, j
     return None
 
@@ -58,20 +99,22 @@ def _meet(text: str, left: list, right: list, lo: int, hi: int, margin: int) ->
 def count_huge(tokenizer, text: str, chunk: int, overlap: int) -> int:
     """The number of tokens of ``text`` from encodings of at most about ``chunk`` characters each."""
     end = min(chunk, len(text))
-    held, total = _spans(tokenizer, text, 0, end), 0
+    held, total, base = _spans(tokenizer, text, 0, end), 0, 0
     while end < len(text):
         width = overlap
         while True:
             lo = max(0, end - width)
             stop = min(len(text), max(end + width, lo + chunk))
+            # Nothing to splice on in all that is held: encode it again with as much text again, from its proven start.
+            if lo <= base:
+                stop = min(len(text), max(stop, 2 * end - base))
+                held, end = _spans(tokenizer, text, base, stop), stop
+                break
             right = _spans(tokenizer, text, lo, stop)
-            met = _meet(text, held, right, lo, end, min(16, width // 4))
+            met = _meet(tokenizer, text, held, right, lo, end, min(16, width // 4))
             if met:
                 total, held, end = total + met[0], right[met[1] :], stop
-                break
-            if lo == 0 and width >= end:  # nothing to splice on: encode from the start of what is held
-                base = held[0][1] if held and total else 0
-                held, end = _spans(tokenizer, text, base, stop), stop
+                base = held[0][1]
                 break
             width *= 2
     return total + len(held)

@@ -256,6 +256,24 @@ def test_splicing(tokenizer_path):
             assert K.count_huge(t, x, chunk, overlap) == len(t.encode(x, add_special_tokens=False))
 
 
+def test_splicing_without_white_space(tokenizer_path, monkeypatch):
+    """Text without ASCII white space is spliced where kinds of signs change; no call encodes it all."""
+    t, calls, plain = K.load(tokenizer_path), [], K._spans
+    monkeypatch.setattr(K, "_spans", lambda tok, x, a, b: calls.append(b - a) or plain(tok, x, a, b))
+    for x in ["日本語の文章です。" * 600, "abc\u3000def\u00a0" * 600, "1234567890" * 500, "'s!x'll" * 700]:
+        assert K.count_huge(t, x, 400, 40) == len(t.encode(x, add_special_tokens=False))
+    assert max(calls) < 1000
+
+
+def test_splicing_of_mixed_signs(tokenizer_path):
+    """Marks that compose, special strings, apostrophes and Hangul parts next to any kind of sign."""
+    t, r = K.load(tokenizer_path), random.Random(11)
+    signs = ["a", "S", "'", "'s", "'ll", "1", "½", "!", "。", "日", "İ", "\u0301", "\u0307", " ", "\u3000", "\u1100", "\u1161", "\u11a8", "가", "<|endoftext|>", "<|", "|>", "endoftext", "😀", "\u200d", "\u0bbe", "\u0bc6"]
+    for _ in range(100):
+        x = "".join(r.choices(r.sample(signs, r.randint(2, 8)), k=r.randint(50, 300)))
+        assert K.count_huge(t, x, 60, 20) == len(t.encode(x, add_special_tokens=False)), x
+
+
 def test_memo_starts_anew(spark, tokenizer_path, monkeypatch):
     t = K.load(tokenizer_path)
     monkeypatch.setattr(K, "REMEMBERED", 5)
