@@ -34,9 +34,7 @@ def windows(words, n):
     return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substrings(spark, small_segments, seed):
-    rows = corpus(seed)
+def check_substrings(spark, rows):
     first = {}
     words = [(i, (t or "").encode().split()) for i, t in rows]
     for i, w in words:
@@ -54,6 +52,11 @@ def test_substrings(spark, small_segments, seed):
     assert sum(n for _, _, n, _ in wanted) > 500
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substrings(spark, small_segments, seed):
+    check_substrings(spark, corpus(seed))
+
+
 def test_substrings_of_odd_tables(spark, small_segments):
     passage = " ".join(WORDS[:60])
     assert substring_dedup(docs(spark, [])).count() == 0
@@ -61,9 +64,8 @@ def test_substrings_of_odd_tables(spark, small_segments):
     assert rows == {None: 60, 5: 0}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_suffixes(spark, small_segments, seed):
-    rows = [*corpus(seed), (200, "ab" * 500), (201, "z" * 199), (202, "z" * 199 + "y"), (203, "q" * 200), (204, None)]
+def check_suffixes(spark, rows):
+    rows = [*rows, (200, "ab" * 500), (201, "z" * 199), (202, "z" * 199 + "y"), (203, "q" * 200), (204, None)]
     texts, n = [(i, (t or "").encode()) for i, t in rows], 200
     count = Counter(x[s : s + n] for _, x in texts for s in range(len(x) - n + 1))
     wanted = []
@@ -78,8 +80,12 @@ def test_suffixes(spark, small_segments, seed):
     assert sum(w[2] for w in wanted) > 2000 and suffix_dedup(docs(spark, [])).count() == 0
 
 
-def test_lm_scores(spark, small_segments):
-    rows = corpus(3)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffixes(spark, small_segments, seed):
+    check_suffixes(spark, corpus(seed))
+
+
+def check_scores(spark, rows):
     texts = [(i, (t or "").encode().split()) for i, t in rows]
     c = Counter(g for _, w in texts for n in (1, 2, 3) for g in windows(w, n))
     total = sum(len(w) for _, w in texts)
@@ -104,3 +110,25 @@ def test_lm_scores(spark, small_segments):
     assert sorted((r.doc_id, r.n_tokens, round(r.log_score, 6)) for r in found) == sorted(wanted)
     assert all((r.mean_log_score is None) == (r.n_tokens == 0) for r in found)
     assert lm_scores(docs(spark, [])).count() == 0
+
+
+def test_lm_scores(spark, small_segments):
+    check_scores(spark, corpus(3))
+
+
+@pytest.mark.parametrize("check", [check_substrings, check_suffixes, check_scores])
+def test_very_long_texts(spark, check):
+    """A text of 30,000 words, the same again, one that differs in a few words, and short ones that repeat parts of it."""
+    r = random.Random(4)
+    long = r.choices(WORDS, k=30_000)
+    changed = [*long]
+    for i in r.sample(range(30_000), 40):
+        changed[i] = "other"
+    parts = [(500 + i, " ".join(long[a : a + 90])) for i, a in enumerate((0, 14_000, 29_910))]
+    check(spark, [*corpus(5, 5), (400, " ".join(long)), (401, " ".join(long)), (402, " ".join(changed)), (403, "one" * 30_000), *parts])
+
+
+@pytest.mark.parametrize("check", [check_substrings, check_suffixes, check_scores])
+def test_many_equal_rows(spark, check):
+    """Repeated rows, ids included, share one segment; each keeps its own result."""
+    check(spark, [*corpus(6, 5), *[(600, " ".join(WORDS[:70]))] * 3000, *[(601, " ".join(WORDS[:60]))] * 20])

@@ -78,6 +78,21 @@ def test_simhash_groups(spark):
     assert simhash_groups(docs(spark, [])).count() == 0
 
 
+def test_very_long_texts(spark):
+    """Texts of 30,000 words: fingerprints against brute force, near copies, and a benchmark item inside one."""
+    long = R.choices(WORDS, k=30_000)
+    changed = [*long]
+    for i in R.sample(range(30_000), 300):
+        changed[i] = "other"
+    item = R.choices(WORDS, k=40)
+    other = R.choices(WORDS, k=30_000)
+    rows = [(1, " ".join(long)), (2, " ".join(changed)), (3, " ".join([*other, *item, *other[:50]])), (4, " ".join(other)), (5, "one" * 30_000), (6, None), (7, "")]
+    assert {r.doc_id: r.fp % (1 << 64) for r in simhash_groups(docs(spark, rows)).collect()} == {i: simhash(t) for i, t in rows}
+    assert {r.doc_id for r in keep_first(docs(spark, rows)).collect()} >= {1, 3, 5} and {r.doc_id: r.component_id for r in near_copy_groups(docs(spark, rows)).collect()}[2] == 1
+    bench = spark.createDataFrame([(9, " ".join(item)), (10, " ".join(R.choices(WORDS, k=2000)))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, round(r.similarity, 9)) for r in contaminated(docs(spark, rows), bench).collect()] == [(3, 9, 1.0)]
+
+
 def test_links_of_a_crowd(spark):
     """Fingerprints around one centre: a group far above the small size, and pairs at every distance."""
     centre = R.getrandbits(64)

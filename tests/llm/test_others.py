@@ -154,6 +154,21 @@ def test_classifier_on_odd_rows(spark):
     assert quality_scores(rows, labels).count() == 5 and quality_scores(rows.limit(0), labels).count() == 0
 
 
+def test_classifier_on_very_long_texts(spark):
+    good, bad = (" ".join(R.choices([f"{k}{i}" for i in range(50)], k=30_000)) for k in ("good", "bad"))
+    rows = [(i, " ".join(R.choices([f"{'good' if i % 2 else 'bad'}{j}" for j in range(50)], k=40))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    found = {r.doc_id: (r.score, r.predicted) for r in quality_scores(docs(spark, [*rows, (900, good), (901, bad), (902, good)]), labels).collect()}
+    # Batches of other shapes may differ in the last digits of single-precision products.
+    assert found[900][0] == pytest.approx(found[902][0], abs=1e-6)
+    assert [found[i][1] for i in (900, 901, 902)] == [1, 0, 1]
+
+
+def test_mix_with_a_very_long_text(spark):
+    rows = docs(spark, [(1, "w " * 100_000), (2, "a b c"), (3, None), (4, "x" * 300_000)])
+    assert {r.doc_id: r["size"] for r in mix(rows).collect()} == {1: 100_000, 2: 3, 3: 0, 4: 1}
+
+
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
