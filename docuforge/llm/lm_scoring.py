@@ -45,13 +45,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     in its context's count; every order given up multiplies by ``backoff``; single words score
     their share of all words.  Texts without words, nulls included, score 0 and null.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
-    n_seg, n_bucket = X.shapes(X.text_bytes(docs, text_col), order / 6)
-    n_bucket = max(n_bucket, ROUNDS)
-    parts = X.partitions_for(spark, n_seg)
-
-    def dealt():
-        return X.segments(docs, id_col, text_col, n_seg).repartition(parts, "_seg").groupBy("_seg")
+    scratch = Scratch(docs.sparkSession, "lm")
+    deal = X.Deal(docs, id_col, text_col, scratch)
+    shape = deal.shape(order / 6, least=ROUNDS)
 
     def explode(table):
         counts, _, grams = _ngrams(table, order)
@@ -63,15 +59,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     aux, tables = {"n_here": "u4"}, []
     for r in range(ROUNDS):
-        sent = X.send(dealt(), explode, n_bucket, WIDTH, aux, (r, ROUNDS))
-        tables.append(scratch.table(X.answer(sent, n_bucket, WIDTH, aux, count), f"counts-{r}"))
+        sent = X.send(deal.grouped(), explode, shape, WIDTH, aux, (r, ROUNDS))
+        tables.append(scratch.table(X.answer(sent, shape, WIDTH, aux, count), f"counts-{r}"))
         del sent
         scratch.release()
     # Every round passes each segment's number of words on.
     total = tables[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    replies = tables[0]
-    for t in tables[1:]:
-        replies = replies.unionByName(t)
 
     def score(table, counted):
         table = X.in_order(table)
@@ -93,5 +86,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         means = pa.array(np.divide(scores, counts, out=np.zeros(len(scores)), where=counts > 0), mask=counts == 0)
         return pa.table({"doc_id": table.column("_id"), "n_tokens": pa.array(counts, pa.int64()), "log_score": pa.array(scores, pa.float64()), "mean_log_score": means})
 
-    grouped = replies.select("_seg", "kind", "bucket", "codes").repartition(parts, "_seg").groupBy("_seg")
-    return dealt().cogroup(grouped).applyInArrow(score, "doc_id bigint, n_tokens bigint, log_score double, mean_log_score double")
+    return deal.grouped().cogroup(deal.replies(*tables)).applyInArrow(score, "doc_id bigint, n_tokens bigint, log_score double, mean_log_score double")

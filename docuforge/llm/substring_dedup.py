@@ -98,12 +98,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other's words, so repeated rows stay alike; rows without an id count as the
     largest.  Ids must be integers.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring")
-    n_seg, n_bucket = X.shapes(X.text_bytes(docs, text_col), 1 / 6)
-    parts = X.partitions_for(spark, n_seg)
-
-    def dealt(carry=False):
-        return X.segments(docs, id_col, text_col, n_seg, carry).repartition(parts, "_seg").groupBy("_seg")
+    scratch = Scratch(docs.sparkSession, "substring")
+    deal = X.Deal(docs, id_col, text_col, scratch, carry)
+    shape = deal.shape(1 / 6)
 
     def probe(table):
         _, anchor, f = _Segment(X.in_order(table), window).probes()
@@ -117,7 +114,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return (known & (X.total(group, n, along["flags"] & 3) > 1)).astype(np.uint8)
 
     aux = {"flags": "u1"}
-    hits = scratch.table(X.answer(X.send(dealt(), probe, n_bucket, 5, aux), n_bucket, 5, aux, shared), "hits")
+    hits = scratch.table(X.answer(X.send(deal.grouped(), probe, shape, 5, aux), shape, 5, aux, shared), "hits")
     scratch.release()
 
     def extend(docs_table, replies):
@@ -133,15 +130,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         np.minimum.at(least, group, along["least"])
         return (least[group] < along["least"]).astype(np.uint8)
 
-    def replies(*tables):
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.unionByName(t)
-        return out.select("_seg", "kind", "bucket", "codes").repartition(parts, "_seg").groupBy("_seg")
-
     aux = {"least": "i8"}
-    sent = X.send(dealt().cogroup(replies(hits)), extend, n_bucket, 8, aux)
-    firsts = scratch.table(X.answer(sent, n_bucket, 8, aux, smaller, kind=1), "firsts")
+    sent = X.send(deal.grouped().cogroup(deal.replies(hits)), extend, shape, 8, aux)
+    firsts = scratch.table(X.answer(sent, shape, 8, aux, smaller, kind=1), "firsts")
     scratch.release()
 
     def cut(docs_table, replies_table):
@@ -169,4 +160,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
     if carry:
         schema += f", _row {docs.schema.simpleString()}"
-    return dealt(carry).cogroup(replies(hits, firsts)).applyInArrow(cut, schema)
+    return deal.grouped(carry).cogroup(deal.replies(hits, firsts)).applyInArrow(cut, schema)

@@ -110,14 +110,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     input.  Null and empty texts have 0 bytes; shorter texts stay.
     Repeated rows are repeats of each other.  Ids must be integers; null ids pass through.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "suffix")
-    n_bytes = X.text_bytes(docs, text_col)
-    n_seg, n_key = X.shapes(n_bytes, 2 / DENSITY, shrink=2)  # some 100 bytes of arrays stand for each byte of text
-    _, n_window = X.shapes(n_bytes, 1 / 4)
-    parts = X.partitions_for(spark, n_seg)
-
-    def dealt():
-        return X.segments(docs, id_col, text_col, n_seg).repartition(parts, "_seg").groupBy("_seg")
+    scratch = Scratch(docs.sparkSession, "suffix")
+    deal = X.Deal(docs, id_col, text_col, scratch, shrink=2)  # some 100 bytes of arrays stand for each byte of text
+    by_key, by_window = deal.shape(2 / DENSITY), deal.shape(1 / 4)
 
     def keys(table):
         f, g, _ = _Segment(X.in_order(table), length).keys()
@@ -131,7 +126,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return ((X.total(group, n, along["n_here"]) > 1) | ((first[group] == seg) * 2)).astype(np.uint8)
 
     aux = {"n_here": "u1"}
-    known = scratch.table(X.answer(X.send(dealt(), keys, n_key, 8, aux), n_key, 8, aux, rank), "keys")
+    known = scratch.table(X.answer(X.send(deal.grouped(), keys, by_key, 8, aux), by_key, 8, aux, rank), "keys")
     scratch.release()
 
     def opened(docs_table, replies):
@@ -153,14 +148,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def repeated(group, n, seg, along):
         return (X.total(group, n, along["n_here"]) > 1).astype(np.uint8)
 
-    def replies(*tables):
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.unionByName(t)
-        return out.select("_seg", "kind", "bucket", "codes").repartition(parts, "_seg").groupBy("_seg")
-
-    sent = X.send(dealt().cogroup(replies(known)), inner, n_window, 8, aux)
-    windows = scratch.table(X.answer(sent, n_window, 8, aux, repeated, kind=1), "windows")
+    sent = X.send(deal.grouped().cogroup(deal.replies(known)), inner, by_window, 8, aux)
+    windows = scratch.table(X.answer(sent, by_window, 8, aux, repeated, kind=1), "windows")
     scratch.release()
 
     def cut(docs_table, replies_table):
@@ -184,4 +173,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             {"doc_id": table.column("_id"), "n_bytes": pa.array(np.diff(segment.at)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())}
         )
 
-    return dealt().cogroup(replies(known, windows)).applyInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return deal.grouped().cogroup(deal.replies(known, windows)).applyInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

@@ -132,3 +132,24 @@ def test_very_long_texts(spark, check):
 def test_many_equal_rows(spark, check):
     """Repeated rows, ids included, share one segment; each keeps its own result."""
     check(spark, [*corpus(6, 5), *[(600, " ".join(WORDS[:70]))] * 3000, *[(601, " ".join(WORDS[:60]))] * 20])
+
+
+@pytest.mark.parametrize("check", [check_substrings, check_suffixes, check_scores])
+def test_equal_rows_that_outweigh_a_segment(spark, monkeypatch, check):
+    """Such rows are dealt to all segments, those without text too; each keeps its own result."""
+    monkeypatch.setattr("docuforge.llm.exchange.SEGMENT_BYTES", 3000)
+    same = " ".join(WORDS[:60])
+    check(spark, [*corpus(6, 5), *[(601, "")] * 60, *[(602, None)] * 60, *[(603, same)] * 40, *[(604, same)] * 40])
+
+
+def test_a_third_of_the_rows_equal(spark, monkeypatch):
+    """The deal keeps every segment near its volume and is the same in every pass."""
+    from docuforge.llm import exchange as X
+    from docuforge.llm.common import Scratch
+
+    monkeypatch.setattr(X, "SEGMENT_BYTES", 20_000)
+    table = spark.range(30_000).selectExpr("if(id % 3 = 0, -1, id) doc_id", "if(id % 3 = 0, repeat('word ', 20), repeat(cast(id as string), 20)) text")
+    deal = X.Deal(table, "doc_id", "text", Scratch(spark, "deal"))
+    sizes = [dict(deal.rows.groupBy("_seg").count().collect()) for _ in range(2)]
+    assert sizes[0] == sizes[1] and sum(sizes[0].values()) == 30_000
+    assert max(sizes[0].values()) < 2 * 30_000 / deal.segments
