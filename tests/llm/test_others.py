@@ -248,6 +248,52 @@ def test_very_long_urls_end(spark):
     assert all((v == "block") == (i < 50) for i, v in found.items())
 
 
+def test_rules_of_items_that_alone_are_unsure(spark, monkeypatch):
+    """Two tokens together imply block; twenty others of the same URLs are surer alone, and no rules."""
+    noise, rows = [f"n{chr(97 + i)}" for i in range(20)], []
+    rows += [(["p", "q", *(t for t in noise if r != t)], True) for r in noise]
+    rows += [([x, *noise], False) for x in "pq" for _ in range(25)] + [([x], False) for x in "pq" for _ in range(100)]
+    rules = mine_rules(spark.createDataFrame(rows, "items array<string>, blocked boolean"), 0.0, 0.5, min_count=10)
+    assert rules == [(("p", "q"), 20 / len(rows), 1.0)]
+    pages = spark.createDataFrame([(i, "http://h.com/" + "/".join(x), b) for i, (x, b) in enumerate(rows)], "page_id long, url string, b boolean")
+    labels = pages.select(F.col("page_id").alias("doc_id"), F.when(F.col("b"), 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    for bound in (10_000, 0):  # rules broadcast, rules joined
+        monkeypatch.setattr("docuforge.llm.url_filter.BROADCAST_RULES", bound)
+        found = url_verdicts(pages.drop("b"), labels, RULES, min_count=10).collect()
+        assert {r.page_id for r in found if r.verdict == "block"} == set(range(20))
+
+
+def test_all_rules_are_kept(spark):
+    labelled = spark.range(50_500).selectExpr("array(concat('t', id % 10100)) items", "true blocked")
+    assert len(mine_rules(labelled, 0.0, 0.5)) == 10_100
+
+
+def test_mined_rules_and_verdicts_of_long_urls_against_all_combinations(spark):
+    """Sixteen tokens, about thirteen a URL: every one of the 65,535 combinations is counted."""
+    r, least, baskets = random.Random(1), 5, []
+    names = [chr(97 + i) for i in range(16)]
+    for _ in range(70):
+        bad = r.random() < 0.4
+        baskets.append(([t for t in names if r.random() < (0.88 if bad else 0.8)], bad))
+    masks = [(sum(1 << names.index(t) for t in x), b) for x, b in baskets]
+    counts = {}
+    for m in range(1, 1 << 16):
+        held = [b for x, b in masks if x & m == m]
+        if (hits := sum(held)) >= least and hits / len(held) >= 0.6:
+            counts[m] = (hits, hits / len(held))
+    best = {}
+    for m in sorted(counts, key=int.bit_count):
+        if not any(d & m == d and s >= counts[m][1] for d, (_, s) in best.items()):
+            best[m] = counts[m]
+    wanted = {tuple(t for i, t in enumerate(names) if m >> i & 1): (h / len(baskets), s) for m, (h, s) in best.items()}
+    df = spark.createDataFrame(baskets, "items array<string>, blocked boolean")
+    assert {x: (a, c) for x, a, c in mine_rules(df, 0.0, 0.6)} == wanted and len(wanted) == 47
+    pages = spark.createDataFrame([(i, "http://9/" + "/".join(x)) for i, (x, _) in enumerate(baskets)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if b else 1, 0) for i, (_, b) in enumerate(baskets)], "doc_id long, quality int, toxic int")
+    found = {r.page_id: r.verdict for r in url_verdicts(pages, labels, RULES, min_support=0.0, min_confidence=0.6).collect()}
+    assert all((found[i] == "block") == any(x & m == m for m in best) for i, (x, _) in enumerate(masks))
+
+
 @pytest.fixture(scope="module")
 def tokenizer_path():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
