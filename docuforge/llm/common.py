@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Bytes hashed at a time; bounds the numpy temporaries of a task to some tens of MB.
 BLOCK_BYTES = 1 << 20
+#: Rows of a file of a scratch table, where their number is known beforehand.
+FILE_ROWS = 1 << 14
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -47,9 +49,15 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/docuforge/{name}-{uuid.uuid4().hex}"
         _scratch.append((spark, self.root))
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back: cuts lineage and survives lost executors."""
+    def table(self, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back: cuts lineage and survives lost executors.
+
+        A table known to have ``most`` rows at most is written in files of some size, not in one for each shuffle
+        partition: without Hadoop's native library each new file starts a child of the executor.
+        """
         path = f"{self.root}/{name}"
+        if most is not None:
+            df = df.coalesce(max(1, -(-most // FILE_ROWS)))
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -60,13 +60,13 @@ HOT_COMPONENTS, HOT_ROWS = 1_000_000, 256
 
 
 def with_least(rows: DataFrame, scratch: Scratch, least: str, name: str) -> DataFrame:
-    """``rows`` with ``name``: the smallest ``least`` of their ``component``.
+    """``rows``, a written table, with ``name``: the smallest ``least`` of their ``component``.
 
     Minima combine on the map side.  Components of more than ``HOT_ROWS`` rows, and of more than the
     ``HOT_COMPONENTS``-th part of all rows, get theirs by a broadcast, which so many at most can need; no
     task gathers a giant component.  Null components keep their rows, with a null.
     """
-    tops = scratch.table(rows.groupBy(F.col("component").alias("_c")).agg(F.min(least).alias(name), F.count("*").alias("_n")), "tops")
+    tops = scratch.table(rows.groupBy(F.col("component").alias("_c")).agg(F.min(least).alias(name), F.count("*").alias("_n")), "tops", rows.count())
     n = tops.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     hot = F.col("_n") > max(HOT_ROWS, n // HOT_COMPONENTS)
     known = F.broadcast(tops.where(hot).select("_c", F.col(name).alias("_known"), F.lit(True).alias("_hot")))
@@ -105,7 +105,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "a", dst
         after = large.join(small, "hi").select(F.explode(F.array(F.struct(F.col("hi"), F.col("low")), F.struct(F.col("lo").alias("hi"), F.col("low")))).alias("x")).select("x.*")
         after = after.where("hi <> low").select("hi", F.col("low").alias("lo")).distinct()
         step += 1
-        after = scratch.table(after, f"cc-{step}")
+        after = scratch.table(after, f"cc-{step}", 2 * e.count())
         # Done when no node has two parents and no parent has a parent.
         pending = after.groupBy("hi").count().where("count > 1").limit(1).count() or after.join(after.select(F.col("hi").alias("p")), F.col("lo") == F.col("p"), "left_semi").limit(1).count()
         scratch.drop(f"cc-{step - 1}")

@@ -134,19 +134,20 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prints = scratch.table(texts.mapInArrow(_prints(shingle, False), f"doc_id {kind}, fp bigint, fp2 bigint, n int"), "prints")
     classes = prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"))
-    classes = scratch.table(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
+    classes = scratch.table(classes.withColumn("key", F.monotonically_increasing_id()), "classes", prints.count())
+    n = classes.count()
 
     masks = F.array(*[F.lit(_signed(m & ~(1 << i))) for i, (_, m) in enumerate(segment_masks(radius))])
     keyed = classes.select("fp", "fp2", "key", F.posexplode(masks).alias("bit", "mask"))
     keyed = keyed.select("bit", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"), "fp", "fp2", "key")
     near = keyed.repartition("bit", "rest").sortWithinPartitions("bit", "rest").mapInArrow(_candidates(radius, second_radius), "a bigint, b bigint")
-    groups = scratch.table(connected_components(near, scratch).select(F.col("node").alias("key"), F.col("component").alias("group")), "groups")
+    groups = scratch.table(connected_components(near, scratch).select(F.col("node").alias("key"), F.col("component").alias("group")), "groups", n)
     scratch.release()
 
     # The shingle sets of one document of each class that is within the radii of another, dealt out as pairs of blocks.
     met = groups.join(classes, "key")
     blocks = met.groupBy("group").agg(F.ceil(F.greatest(F.count("key") / BLOCK, F.sum("n") / BLOCK_SHINGLES, F.lit(1.0))).cast("int").alias("blocks"))
-    met = scratch.table(met.join(blocks, "group"), "met")
+    met = scratch.table(met.join(blocks, "group"), "met", n)
     ids = met.select(F.col("least_id").alias("_id")).distinct()
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     bags = texts.join(ids, texts.doc_id == ids["_id"], "left_semi").mapInArrow(_prints(shingle, True), f"doc_id {kind}, fp bigint, fp2 bigint, bag binary")
@@ -156,7 +157,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_verified(least, radius, second_radius), "a bigint, b bigint")
     labelled = connected_components(links, scratch)
     named = classes.join(labelled, classes.key == labelled.node, "left").select("fp", "fp2", "least_id", F.coalesce("component", "key").alias("component"))
-    named = scratch.table(named, "named")
+    named = scratch.table(named, "named", n)
     final = with_least(named, scratch, "least_id", "component_id").select("fp", "fp2", "component_id")
     return prints.join(final, ["fp", "fp2"]).select("doc_id", "component_id")
 

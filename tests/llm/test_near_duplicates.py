@@ -43,6 +43,25 @@ def test_components(spark):
     assert connected_components(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_few_files_for_few_rows(spark):
+    """Many shuffle partitions that nothing coalesces: a table of few rows is still one file, and keys stay distinct."""
+    from pyspark.sql import functions as F
+
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = connected_components(spark.range(400).selectExpr("id a", "id + 1000 * (id % 2) b"), Scratch(spark, "t"))
+        assert len(found.inputFiles()) == 1 and {tuple(x) for x in found.collect()} == {(x, i) for i in range(1, 400, 2) for x in (i, i + 1000)}
+        keyed = spark.range(1000).groupBy("id").count().withColumn("key", F.monotonically_increasing_id())
+        keyed = Scratch(spark, "t").table(keyed, "keyed", 1000)
+        assert len(keyed.inputFiles()) == 1 and keyed.select("key").distinct().count() == 1000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_least_of_giant_and_small_components(spark):
     rows = [(i, 1 if i < 900 else i // 3) for i in range(1000)] + [(5000, None)]
     df = spark.createDataFrame([(i, c, "x") for i, c in rows], "id long, component long, _known string")
